@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm import mixing, url_filter
+from weftwork.llm import line_dedup, mixing, packing, quality, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, counts=True)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.train(url_filter.labelled_table(spark))
     return url_filter.judge(read(spark, sf_dir, "pages"), weights)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.rate(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.plan(read(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken", "copies", "extra")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_url_filters, op4_quality_classifier, op7_best_fit_packing, op10_source_mixing)}
 SQL: dict[str, str] = {}
