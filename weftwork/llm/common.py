@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame) -> None:
+    """Lets the driver drop what it no longer refers to, so that Spark removes the shuffle files of finished steps."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table of stored() that no later step reads."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/weftwork/" in path:
+            jvm = table.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def n_words(text: str = "text"):
     """Words between spaces and control gaps; null counts 0. Runs JVM-side."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
@@ -69,7 +86,7 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `most` bytes of the column each; a longer row goes alone."""
     at = batch.schema.get_field_index(column)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if i > start and held + n > most:
