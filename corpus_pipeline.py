@@ -1,10 +1,57 @@
-"""The corpus pipeline: five stages over documents, each written and read again."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Five stages, each over all that the stage before kept; each is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents. n_chars follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftwork.llm import line_dedup, minhash, mixing, packing, quality
+from weftwork.llm.common import stored
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, scores 0.3 or more."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(model.score(F.col("text")) >= quality.THRESHOLD)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines whose template recurs across documents."""
+    return _counted(line_dedup.dedup(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return minhash.dedup(docs, k=5)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return _counted(mixing.mix(docs, places=False))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_classifier", quality_classifier), ("line_dedup", drop_lines), ("minhash_near_dedup", near_dedup), ("source_mixing", source_mix), ("best_fit_packing", pack)]
+
+#: Training, hashing and tokenizing have no SQL form; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

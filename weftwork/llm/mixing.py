@@ -153,11 +153,11 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     return node.select("shard", F.inline("k")).select("source", "shard", "first", "n").where("n > 0")
 
 
-def mix(docs: DataFrame, *, shards: int = 16, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """The mix itself: docs' columns with shard and place, a row for each copy taken.
+def mix(docs: DataFrame, *, shards: int = 16, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, places: bool = True) -> DataFrame:
+    """The mix itself: docs' columns, a row for each copy taken, and with `places` its shard and its place in the shard's order.
 
-    A partial copy keeps the document's first words, joined by one space, up to the cut.
-    docs must not hold the columns that this adds: shard, place.
+    A partial copy keeps the document's first words, joined by one space, up to the cut. Rows that repeat a doc_id and
+    a text share their copies evenly, as all of them carry the same number.
     """
     documents, blocks = plan(docs, weights=weights, most=most, seed=seed)
     # The stream of a source: all blocks of the first pass, then of the second, and so on.
@@ -167,15 +167,18 @@ def mix(docs: DataFrame, *, shards: int = 16, weights: tuple[int, ...] = (1, 2,
     shares = shard_quotas(blocks.groupBy("source").agg(F.sum("quota").alias("quota")), shards, seed)
     s = shares.select(F.col("source").alias("_s"), "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("_at"))
     dealt = steps.join(s, steps["source"].eqNullSafe(s["_s"]) & (steps["_at"] == s["_at"])).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "_pass", "shard")
-    taken = documents.where("taken > 0").withColumn("_n", F.col("copies") + F.when(F.col("extra") > 0, 1).otherwise(0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n")))
+    # Of rows that repeat a doc_id and a text one entry stands for all, with the number of copies of each.
+    each = documents.groupBy("doc_id", "_text_hash", "source", "block").agg(F.max("copies").alias("copies"), F.max("extra").alias("extra"))
+    each = each.withColumn("_n", F.col("copies") + F.when(F.col("extra") > 0, 1).otherwise(0)).where("_n > 0")
+    taken = each.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n")))
     rows = taken.join(dealt, taken["source"].eqNullSafe(dealt["_s"]) & (taken["block"] == dealt["_b"]) & (taken["_copy"] == dealt["_pass"]))
-    rows = rows.select(
-        F.col("doc_id").alias("_d"), F.col("_text_hash").alias("_h"), "shard", F.xxhash64(F.lit(seed + 1), "doc_id", "_text_hash", "_copy").alias("place"),
-        F.when(F.col("_copy") > F.col("copies"), F.col("extra")).alias("_words"),
-    )
-    # Rows that repeat a doc_id and a text have the same copies, so one entry stands for all of them.
-    rows = rows.groupBy("_d", "_h").agg(F.collect_set(F.struct("shard", "place", "_words")).alias("_takes"))
-    keyed = docs.withColumn("_d0", F.col("doc_id").cast("long")).withColumn("_h0", F.xxhash64(F.col("text").cast("string")))
-    out = keyed.join(rows, keyed["_d0"].eqNullSafe(rows["_d"]) & (keyed["_h0"] == rows["_h"])).drop("_d", "_h", "_d0", "_h0").withColumn("_take", F.explode("_takes")).drop("_takes")
-    part = F.array_join(F.slice(F.filter(F.split(F.col("text"), WORD_GAP), lambda w: w != ""), F.lit(1), F.col("_take")["_words"].cast("int")), " ")
-    return out.withColumn("text", F.when(F.col("_take")["_words"].isNotNull(), part).otherwise(F.col("text"))).withColumn("shard", F.col("_take")["shard"]).withColumn("place", F.col("_take")["place"]).drop("_take")
+    place = F.xxhash64(F.lit(seed + 1), "doc_id", "_text_hash", "_copy")
+    words = F.when(F.col("_copy") > F.col("copies"), F.col("extra"))
+    takes = rows.groupBy("doc_id", "_text_hash", F.col("source")).agg(F.collect_list(F.struct("shard", place.alias("place"), words.alias("words"))).alias("takes"))  # at most `most` + 1 copies
+    d = takes.select(F.col("doc_id").alias("_d"), F.col("_text_hash").alias("_h"), F.col("source").alias("_s"), "takes")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th"), F.col("source").cast("string").alias("_src"))
+    both = whole.join(d, whole["_id"].eqNullSafe(d["_d"]) & (whole["_th"] == d["_h"]) & whole["_src"].eqNullSafe(d["_s"])).select("row", F.explode("takes").alias("take"))
+    part = F.array_join(F.slice(F.filter(F.split(F.col("row.text"), WORD_GAP), lambda w: w != ""), F.lit(1), F.col("take.words").cast("int")), " ")
+    text = F.when(F.col("take.words").isNotNull(), part).otherwise(F.col("row.text"))
+    columns = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return both.select(*columns, *([F.col("take.shard").alias("shard"), F.col("take.place").alias("place")] if places else []))
