@@ -2,11 +2,16 @@
 
 Every loop keeps one shape: join a small frontier with the edges, drop what is known, store, stop when
 nothing is new. Each round's result is written to the shared checkpoint folder, so lineage does not grow and a
-lost executor costs no round. Nothing but counts comes to the driver.
+lost executor costs no round. Nothing but counts comes to the driver. A graph of at most MOST_LOCAL edges, which
+is counted first, is walked by one task instead, for a round costs more than such a walk.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ from weftwork.operators.storage import stored
 
 #: Edges whose two ids may be broadcast in each round; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
+MOST_LOCAL = 500_000
 
 
 def module_edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
@@ -34,9 +40,111 @@ def _edges(edges: DataFrame) -> DataFrame:
     return F.broadcast(own) if own.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else own
 
 
+def _small(edges: DataFrame) -> bool:
+    return edges.limit(MOST_LOCAL + 1).count() <= MOST_LOCAL
+
+
+def _walked(edges: DataFrame, walk: Callable[[list, list], Iterable[tuple]], schema: str, also: DataFrame | None = None) -> DataFrame:
+    """walk(edges, nodes) in one task; also: nodes (node) that are handed in with the edges."""
+    rows = edges.select("src", "dst")
+    if also is not None:
+        rows = rows.unionByName(also.select(F.col("node").alias("src"), F.lit(None).cast(edges.schema["dst"].dataType).alias("dst")))
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string()}
+
+    def alone(batches):
+        pairs, nodes = [], []
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b is None:
+                    nodes.append(a)
+                else:
+                    pairs.append((a, b))
+        columns = list(zip(*walk(pairs, nodes), strict=True)) or [[]] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+    return stored(rows.coalesce(1).mapInArrow(alone, schema))
+
+
+def _walk_reach(pairs: list, start: list) -> Iterable[tuple]:
+    to = defaultdict(list)
+    for a, b in pairs:
+        to[a].append(b)
+    hops, frontier = dict.fromkeys(start, 0), list(dict.fromkeys(start))
+    while frontier:
+        fresh = []
+        for a in frontier:
+            for b in to[a]:
+                if b not in hops:
+                    hops[b] = hops[a] + 1
+                    fresh.append(b)
+        frontier = fresh
+    return hops.items()
+
+
+def _walk_layers(pairs: list, nodes: list) -> Iterable[tuple]:
+    to, missing = defaultdict(list), dict.fromkeys(nodes, 0)
+    for a, b in pairs:
+        to[a].append(b)
+        missing.setdefault(a, 0)
+        missing[b] = missing.get(b, 0) + 1
+    layer = {n: 0 for n, m in missing.items() if not m}
+    ready = list(layer)
+    for a in ready:
+        for b in to[a]:
+            missing[b] -= 1
+            if not missing[b]:
+                ready.append(b)
+        for b in to[a]:
+            layer[b] = max(layer.get(b, 0), layer[a] + 1)
+    return [(n, layer[n]) for n in ready]
+
+
+def _walk_components(pairs: list, _: list) -> Iterable[tuple]:
+    """Two depth-first walks: along the edges for an order of ends, then backwards in its reverse."""
+    to, back = defaultdict(list), defaultdict(list)
+    for a, b in pairs:
+        to[a].append(b)
+        back[b].append(a)
+    ends, seen = [], set()
+    for root in list(to):
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(to[root]))]
+        while stack:
+            a, rest = stack[-1]
+            for b in rest:
+                if b not in seen:
+                    seen.add(b)
+                    stack.append((b, iter(to.get(b, ()))))
+                    break
+            else:
+                ends.append(a)
+                stack.pop()
+    done: set = set()
+    for root in reversed(ends):
+        if root in done:
+            continue
+        done.add(root)
+        members = [root]
+        for a in members:
+            for b in back.get(a, ()):
+                if b not in done:
+                    done.add(b)
+                    members.append(b)
+        if len(members) > 1:
+            name = min(members)
+            yield from ((m, name) for m in members)
+
+
 def reach(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(node, hops) of every node that a path from start (node) leads to, start included; hops is the shortest path's length."""
-    step = _edges(edges)
+    kind = edges.schema["src"].dataType.simpleString()
+    own = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    if most is None and kind in ("int", "bigint", "string") and _small(own):
+        return _walked(own, _walk_reach, f"node {kind}, hops int", start.where("node is not null"))
+    step = F.broadcast(own) if own.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else own
     seen = stored(start.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier, hops = seen, 0
     while most is None or hops < most:
@@ -52,16 +160,17 @@ def reach(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFr
 
 
 def reach_pairs(edges: DataFrame) -> DataFrame:
-    """(src, dst): the transitive closure by doubling, without paths of length 0. Its size is the closure's; meant for sparse relations."""
-    closed = stored(edges.select("src", "dst").distinct())
-    n = closed.count()
-    while True:
-        longer = closed.select("src", F.col("dst").alias("_m")).join(closed.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst")
-        closed = stored(closed.unionByName(longer).distinct())
-        now = closed.count()
-        if now == n:
-            return closed
-        n = now
+    """(src, dst): the transitive closure, without paths of length 0. Its size is the closure's; meant for sparse relations.
+
+    Each round joins only the pairs that the last one found with the edges.
+    """
+    step = _edges(edges)
+    closed = fresh = stored(edges.select("src", "dst").distinct())
+    while not fresh.isEmpty():
+        longer = fresh.select("src", F.col("dst").alias("_m")).join(step.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
+        fresh = stored(longer.join(closed, ["src", "dst"], "left_anti"))
+        closed = stored(closed.unionByName(fresh))
+    return closed
 
 
 def layers(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -73,6 +182,10 @@ def layers(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame,
     left = stored(edges.select("src", "dst").distinct())
     rest = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node")))
     rest = stored((rest if nodes is None else rest.unionByName(nodes.select("node"))).distinct())
+    kind = edges.schema["src"].dataType.simpleString()
+    if kind in ("int", "bigint", "string") and _small(left):
+        done = _walked(left, _walk_layers, f"node {kind}, layer int", rest)
+        return done, left.join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
     done, layer = None, 0
     while True:
         free = rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
@@ -126,7 +239,11 @@ def scc(edges: DataFrame) -> DataFrame:
     Forward colouring: every node takes the smallest node that reaches it; the nodes of a colour that reach back to
     that node are one component. What is found is taken out, and the rest goes another round.
     """
-    left, found = _peeled(edges), None
+    kind = edges.schema["src"].dataType.simpleString()
+    own = stored(edges.select("src", "dst").where("src != dst").distinct())
+    if kind in ("int", "bigint", "string") and _small(own):
+        return _walked(own, _walk_components, f"node {kind}, scc {kind}")
+    left, found = _peeled(own), None
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
         colour = _spread(left, nodes.withColumn("label", F.col("node")))

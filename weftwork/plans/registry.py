@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from weftwork.plans import graphs, relational
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+QUERIES = relational.QUERIES | graphs.QUERIES
+SQL = relational.SQL | graphs.SQL
+flagship = graphs.flagship
