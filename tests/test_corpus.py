@@ -69,10 +69,11 @@ def test_sources_read_from_a_folder(spark, tmp_path):
     (tmp_path / "pkg").mkdir()
     (tmp_path / "pkg" / "__init__.py").write_bytes(b"x = 1\r\ny = 2\r")
     (tmp_path / "pkg" / "__main__.py").write_text("print(1)\n")
+    (tmp_path / "pkg" / "plain.py").write_text("z = 3\n")
     (tmp_path / "notes.txt").write_text("no")
     files = source.read_sources(spark, f"file://{tmp_path}")
     rows = {r.path: r.source for r in files.collect()}
-    assert set(rows) == {"pkg/__init__.py", "pkg/__main__.py"} and rows["pkg/__init__.py"] == "x = 1\ny = 2\n"
+    assert set(rows) == {"pkg/__init__.py", "pkg/__main__.py", "pkg/plain.py"} and rows["pkg/__init__.py"] == "x = 1\ny = 2\n"
     assert source.entry_file(files, "pkg").first().path == "pkg/__init__.py"
 
 

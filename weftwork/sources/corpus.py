@@ -21,10 +21,34 @@ DEFAULTS = {"src": "", "known_first_party": "", "known_third_party": "", "preser
 COLLECTIONS = ("src", "known_first_party", "known_third_party")
 
 
+#: Files whose names Spark's readers hide (they begin with _); the driver reads so many at most. Larger corpora come as tables of (path, source).
+MOST_HIDDEN = 20_000
+
+
+def _hidden_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(full path, source) of the .py files under root that begin with _: Spark's readers leave them out, and __init__.py is one of them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(conf)
+    found, files = [], system.listFiles(place, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().startswith("_") and path.getName().endswith(".py"):
+            if len(found) >= MOST_HIDDEN:
+                raise ValueError(f"more than {MOST_HIDDEN} package files: read the corpus from a table")
+            stream = system.open(path)
+            try:
+                found.append((path.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return found
+
+
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """(path, source, content_hash) of every .py file under root; path is relative to it, line ends are LF. One row a file; any file system."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
     where = files.select(F.col("value").alias("source"), F.col("_metadata.file_path").alias("_full"))
+    where = where.unionByName(spark.createDataFrame(_hidden_files(spark, root), "_full string, source string"))
     base = root.rstrip("/").split("://", 1)[-1].lstrip("/")
     path = F.regexp_replace("_full", "^.*?" + "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in base) + "/", "")
     source = names.line_ends(F.col("source"))
