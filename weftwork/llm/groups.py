@@ -1,19 +1,19 @@
 """Connected components, and links inside buckets without all pairs of a bucket.
 
-Nodes are values with an order (here 16-byte hashes). Nothing is collected; every step is a stored table.
+Nodes are values with an order (here hashes). Nothing is collected; every step is a stored table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import stored
 
 #: Pairs left between components that are tested at once, in terms of the members left; more are tested by pivots.
-PAIRS_A_MEMBER = 8
+PAIRS_A_MEMBER, PIVOTS = 64, 16
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,14 +40,19 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame] | None = None, possible: Callable[[], Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(edges, components) such that every pair of nodes in a bucket that verify() accepts is in one component.
 
     members: (bucket, node), distinct. verify takes pairs (u, v) and returns those that hold. First the
     smallest node of a bucket is tested against the others. A bucket whose nodes are then
     all in one component is done. Else the nodes outside its largest component are tested against
     those of other components: all of them if these pairs are about as many as members, else
-    one pivot of each bucket a round, until none is left.
+    PIVOTS of each bucket a round, until none is left.
+
+    features gives columns (node, f, a struct) for such nodes, and possible a condition on bucket, fu and fv that every pair
+    that verify would accept fulfils: pairs beyond it are never made.
     """
     firsts = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     left = stored(members.join(firsts, "bucket").select("bucket", "node", "pivot"))
@@ -66,9 +71,14 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tupl
         minor = open_rows.where("root != main")
         last = total[0] <= PAIRS_A_MEMBER * total[1]
         if not last:
-            minor = minor.join(minor.groupBy("bucket").agg(F.min("node").alias("pivot")), "bucket").where("node = pivot")
-        a = minor.select("bucket", F.col("node").alias("u"), F.col("root").alias("_r"))
-        met = a.join(open_rows.select("bucket", F.col("node").alias("v"), "root", "main"), "bucket").where("_r != root")
+            minor = minor.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("_r") <= PIVOTS).drop("_r")
+        a, b = minor.select("bucket", F.col("node").alias("u"), F.col("root").alias("_r")), open_rows.select("bucket", F.col("node").alias("v"), "root")
+        fits = F.col("_r") != F.col("root")
+        if features and possible:
+            known = stored(features(open_rows.select("node").distinct()))
+            a, b = a.join(known.select(F.col("node").alias("u"), F.col("f").alias("fu")), "u"), b.join(known.select(F.col("node").alias("v"), F.col("f").alias("fv")), "v")
+            fits = fits & possible()
+        met = a.join(b, "bucket").where(fits)
         pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         fresh = stored(pairs.join(tested, ["u", "v"], "left_anti"))
         more = stored(verify(fresh))

@@ -2,11 +2,15 @@
 
 A document's set holds its distinct shingles of WORDS words, lower-cased A-Z; documents of the
 same set are one node, so copies never meet each other. A signature has HASHES minima of
-multiply-add-shift hashes; ROWS of them make a band, and nodes that share a band are candidates
-(a pair of similarity 0.8 shares none of the 32 bands with probability 5e-8). Candidates whose signatures
-agree in fewer than LEAST_ALIKE are dropped (at 0.8 that loses one in 10**8); the others are
+multiply-add hashes; ROWS of them make a band, and nodes that share a band are candidates
+(a pair of similarity 0.8 shares none of the 64 bands with probability 8e-6; at 0.55 it shares one in two cases, so long
+bands keep groups of half-alike documents apart). A byte of each of the first SIGNED minima is kept;
+candidates that agree in fewer than LEAST_ALIKE of them are dropped (at 0.8 that loses one in 10**6); the others are
 confirmed on their full sets, which are made again from the texts of nodes that share a band.
 
+Groups of half-alike documents would make all pairs of a group. Two bounds keep them apart inside the join of a bucket: of the last bits of all minima at most DIFFERENT differ (at 0.8
+more do with probability 1e-5), and shingles that no other open node has cannot be shared, which limits the similarity exactly. A pair is made in its first common band only.
+
 Nulls: a null or wordless text has an empty set, is linked with nothing and is its own component. A
 null doc_id takes part; its group's id is the smallest that is not null. Repeated rows are copies.
 Ties do not arise: the smallest doc_id of a component names it. An empty table gives an empty result.
@@ -24,16 +28,19 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.common import slices, stored, texts_of
 from weftwork.llm.groups import linked
-from weftwork.llm.textvec import LOWERED, runs, words
+from weftwork.llm.textvec import LOWERED, mixed, runs, words
 
-WORDS, HASHES, ROWS, LEAST_ALIKE = 4, 128, 4, 0.6
+WORDS, HASHES, ROWS = 4, 512, 8
+SIGNED, LEAST_ALIKE = 256, 0.68
+DIFFERENT = 80
 SIMILAR = 80
 PART = 1 << 21
-#: Nodes whose ids (of 8 bytes) may be broadcast to find their texts; more are joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: Ids of 8 bytes that may be broadcast (nodes to find their texts, buckets to find their members); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 _random = np.random.Generator(np.random.PCG64(77))
-_A = (_random.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _random.integers(0, 2**64, HASHES, dtype=np.uint64)
+_A = _random.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+_B = _random.integers(0, 2**32, HASHES, dtype=np.uint32)
+_MIX = _random.integers(0, 2**63, (HASHES // ROWS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
@@ -53,14 +60,19 @@ def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima of HASHES universal hashes, 32 bits each."""
-    least = np.full(HASHES, np.uint64(2**64 - 1))
-    x = shingles >> np.uint64(32)
+    """Minima of HASHES universal hashes a * x + b modulo 2**32, of 32 mixed bits of each shingle's hash."""
+    least = np.full(HASHES, np.uint32(2**32 - 1))
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(x), 512):
         block = _A[:, None] * x[None, i : i + 512]
         block += _B[:, None]
         np.minimum(least, block.min(1), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band's minima; bands differ by their factors."""
+    return mixed((least.reshape(-1, ROWS).astype(np.uint64) * _MIX).sum(1, dtype=np.uint64))
 
 
 def node_of(shingles: np.ndarray) -> bytes:
@@ -73,17 +85,32 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
             for part in slices(batch, "text", PART):
                 sets = shingle_sets(texts_of(part.column("text")), k)
                 nodes = [node_of(s) if len(s) else None for s in sets]
-                signatures = [signature(s).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "node", "signature"])
+                least = [signature(s) if len(s) else None for s in sets]
+                signs = (lambda x: bands(x).astype("<u8").tobytes(), lambda x: x[:SIGNED].astype(np.uint8).tobytes() + np.packbits(x.astype(np.uint8) & 1).tobytes())
+                made = [pa.array([None if x is None else of(x) for x in least], pa.binary()) for of in signs]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), *made], ["doc_id", "n_shingles", "hash", "bands", "signature"])
+
+    return docs.mapInArrow(each, "doc_id long, n_shingles long, hash binary, bands binary, signature binary")
 
-    return docs.mapInArrow(each, "doc_id long, n_shingles long, node binary, signature binary")
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """nodes (hash, ...) with node: eight bytes of the hash as a number where these tell all nodes apart, else the hash itself."""
+    n = nodes.count()
+    for at in (1, 9):
+        half = F.conv(F.hex(F.substring("hash", at, 8)), 16, -10).cast("long")
+        if nodes.select(half.alias("node")).distinct().count() == n:
+            return nodes.withColumn("node", half)
+    return nodes.withColumn("node", F.col("hash"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes) of the wanted nodes (node, rep), from the text of their smallest document."""
-    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    ids = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
-    own = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["_rep"])).select("_node", "text")
+    """hash, shingles (sorted 64-bit hashes) of the wanted nodes (hash, rep), from the text of their smallest document."""
+    ids = _few(wanted.select(F.col("rep").alias("_rep"), F.col("hash").alias("_node")))
+    own = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_rep"))).select("_node", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,26 +118,28 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(texts_of(part.column("text")), k)
                 rows = [(n, s.tobytes()) for n, s in zip(part.column("_node").to_pylist(), sets, strict=True) if len(s) and node_of(s) == n]
                 columns = list(zip(*rows, strict=True)) or [[], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["hash", "shingles"])
 
-    return own.mapInArrow(each, "node binary, shingles binary").dropDuplicates(["node"])
+    return own.mapInArrow(each, "hash binary, shingles binary").dropDuplicates(["hash"])
 
 
-def groups(docs: DataFrame, *, k: int = WORDS, similar: int = SIMILAR, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+def groups(docs: DataFrame, *, k: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's set) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = stored(_signed(docs, k))
-    nodes = stored(table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    band = F.explode(F.sequence(F.lit(0), F.lit(hashes // rows - 1))).alias("band")
-    members = nodes.select("node", "signature", band).select(F.xxhash64("band", F.substring("signature", F.col("band") * (4 * rows) + 1, F.lit(4 * rows))).alias("bucket"), "node")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    members = stored(members.join(shared, "bucket"))
+    first = [F.first(c).alias(c) for c in ("bands", "signature")]
+    nodes = stored(_numbered(stored(table.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *first))))
+    band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1))).alias("band")
+    all_members = nodes.select("node", "bands", band).select(F.xxhash64("band", F.substring("bands", F.col("band") * 8 + 1, F.lit(8))).alias("bucket"), "node")
+    shared = stored(all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket"))
+    members = stored(all_members.join(_few(shared), "bucket"))
     wanted = stored(nodes.join(members.select("node").distinct(), "node"))
-    sets = stored(_sets(docs, wanted.select("node", "rep"), k))
+    sets = stored(_sets(docs, wanted.select("hash", "rep"), k).join(wanted.select("hash", "node"), "hash").select("node", "shingles"))
+    kind = nodes.schema["node"].dataType.simpleString()
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, hashes) for c in ("su", "sv"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNED + HASHES // 8)[:, :SIGNED] for c in ("su", "sv"))
             fine = (a == b).mean(1) >= LEAST_ALIKE
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(fine))
 
@@ -127,17 +156,44 @@ def groups(docs: DataFrame, *, k: int = WORDS, similar: int = SIMILAR, hashes: i
         u = wanted.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("signature").alias("su"))
         v = wanted.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("signature").alias("sv"))
         close = pairs.join(u, "u").join(v, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * similar)
-        left = stored(close.select("u", "v", "su", "sv").mapInArrow(alike, "u binary, v binary"))
+        left = stored(close.select("u", "v", "su", "sv").mapInArrow(alike, f"u {kind}, v {kind}"))
         both = left.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-        return both.select("u", "v", "a", "b").mapInArrow(confirmed, "u binary, v binary")
-
-    edges, roots = linked(members, verify)
+        return both.select("u", "v", "a", "b").mapInArrow(confirmed, f"u {kind}, v {kind}")
+
+    number = lambda c, at: F.conv(F.hex(F.substring(c, at, 8)), 16, -10).cast("long")
+
+    def features(open_nodes: DataFrame) -> DataFrame:
+        """n, s (shingles that another open node has too), last bits and bands of each node."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for node, own in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                    g = np.frombuffer(own, "<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array([node] * len(g), batch.schema.field("node").type), pa.array(g)], ["node", "g"])
+
+        each = stored(sets.join(open_nodes, "node").select("node", "shingles").mapInArrow(spread, f"node {kind}, g long"))
+        shared_by = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("g"))
+        s = each.join(shared_by, "g").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+        bits = F.array(*[number("signature", SIGNED + 1 + 8 * i) for i in range(HASHES // 64)])
+        lanes = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("bands", i * 8 + 1, F.lit(8))))
+        f = F.struct("n", F.coalesce("s", F.lit(0)).alias("s"), bits.alias("bits"), lanes.alias("lanes"))
+        return wanted.join(open_nodes, "node").join(s, "node", "left").select("node", f.alias("f"))
+
+    def possible():
+        n = F.col("fu.n") + F.col("fv.n")
+        bound = F.least("fu.s", "fv.s") * (100 + similar) >= n * similar
+        sizes = F.least("fu.n", "fv.n") * 100 >= F.greatest("fu.n", "fv.n") * similar
+        differ = sum((F.bit_count(F.col("fu.bits")[i].bitwiseXOR(F.col("fv.bits")[i])) for i in range(HASHES // 64)), F.lit(0))
+        both = F.array_position(F.zip_with("fu.lanes", "fv.lanes", lambda a, b: a == b), True)
+        return sizes & bound & (differ <= DIFFERENT) & (F.get(F.col("fu.lanes"), (both - 1).cast("int")) == F.col("bucket"))
+
+    edges, roots = linked(members, verify, features, possible)
     links = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "hash", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_node = named.join(smallest, "root").join(links, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = table.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    by_hash = named.join(smallest, "root").join(links, "node", "left").select("hash", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = table.select("doc_id", "n_shingles", "hash").join(by_hash, "hash", "left")
+    component = F.when(F.col("hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
