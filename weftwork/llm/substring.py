@@ -86,7 +86,8 @@ def duplicate_windows(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED
                 yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(keys), pa.array((at - begin[doc]).astype(np.int32))], ["key", "dk", "pos"])
 
     places = stored(docs.select("dk", "text").mapInArrow(index, "key long, dk long, pos int"))
-    recurring = places.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    # Stored, so that the join has shuffles of its own, which Spark splits where one anchor has most places.
+    recurring = stored(places.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"))
     lists = stored(places.join(recurring, "key").groupBy("dk").agg(F.collect_set("pos").alias("positions")))  # places in one text
     dropped(places)
     settle(docs)
