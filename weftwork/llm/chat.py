@@ -83,17 +83,18 @@ def paths(messages: DataFrame) -> DataFrame:
     links = stored(messages.select("tree", "message", "parent"))
     names = links.select(F.col("tree").alias("_t"), F.col("message").alias("_m"))
     here = links.join(names, links["tree"].eqNullSafe(names["_t"]) & (links["parent"] == names["_m"]), "left")
-    jump = stored(here.select("tree", "message", F.col("_m").alias("up_to")))
-    parents = jump.where("up_to is not null").select(F.col("tree").alias("_t"), F.col("up_to").alias("_m")).distinct()
-    leaves = jump.join(parents, jump["tree"].eqNullSafe(parents["_t"]) & (jump["message"] == parents["_m"]), "left_anti")
+    here = stored(here.select("tree", "message", F.col("_m").alias("up_to")))
+    jump = stored(here.where("up_to is not null"))  # messages whose ancestor at the present distance exists; fewer each round
+    parents = jump.select(F.col("tree").alias("_t"), F.col("up_to").alias("_m")).distinct()
+    leaves = here.join(parents, here["tree"].eqNullSafe(parents["_t"]) & (here["message"] == parents["_m"]), "left_anti")
     reach = leaves.select("tree", F.col("message").alias("leaf"), "message", F.lit(0).cast("long").alias("up"))
-    roots = jump.where("up_to is null").select(F.col("tree").alias("_t"), F.col("message").alias("_m"))
+    roots = here.where("up_to is null").select(F.col("tree").alias("_t"), F.col("message").alias("_m"))
     most, step = links.count(), 1
-    while step <= most and not jump.where("up_to is not null").isEmpty():
-        j = jump.where("up_to is not null").select(F.col("tree").alias("_t"), F.col("message").alias("_m"), "up_to")
-        further = reach.join(j, reach["tree"].eqNullSafe(j["_t"]) & (reach["message"] == j["_m"])).select("tree", "leaf", F.col("up_to").alias("message"), (F.col("up") + step).alias("up"))
+    while step <= most and not jump.isEmpty():
+        j = jump.select(F.col("tree").alias("_t"), F.col("message").alias("_m"), F.col("up_to").alias("_next"))
+        further = reach.join(j, reach["tree"].eqNullSafe(j["_t"]) & (reach["message"] == j["_m"])).select("tree", "leaf", F.col("_next").alias("message"), (F.col("up") + step).alias("up"))
         reach = stored(reach.unionByName(further))
-        twice = jump.join(j.withColumnRenamed("up_to", "_next"), jump["tree"].eqNullSafe(j["_t"]) & (jump["up_to"] == j["_m"]), "left")
+        twice = jump.join(j, jump["tree"].eqNullSafe(j["_t"]) & (jump["up_to"] == j["_m"]))
         jump = stored(twice.select("tree", "message", F.col("_next").alias("up_to")))
         step *= 2
     # Only paths that end at a root count; those on a cycle never do.
