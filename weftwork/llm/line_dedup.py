@@ -25,19 +25,32 @@ from weftwork.llm.common import WORD, WORD_GAP, clear_of, stored
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.8, 5
 VARIABLE = "<*>"
-#: Leaves that may be broadcast, each of 8 bytes; more are joined by a shuffle.
+#: Leaves or lines that may be broadcast, each of 16 bytes; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 _VARIED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
 
 
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """Distinct masked lines of each text with their leaf: doc_id, h1, h2 (of the text), line, leaf, mark (of the line)."""
-    masked = F.regexp_replace("text", _VARIED, VARIABLE)
+def _masked(text: str):
+    """The text with <*> for tokens that hold a digit; texts without one are not scanned by the pattern."""
+    return F.when(F.col(text).rlike("[0-9]"), F.regexp_replace(text, _VARIED, VARIABLE)).otherwise(F.col(text))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """Distinct masked lines of each text: doc_id, h1, h2 (of the text), line, mark (of the line)."""
     lines = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.explode(F.array_distinct(F.split(masked, "\n"))).alias("line")
-    ).where(F.col("line").rlike(WORD))
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.explode(F.array_distinct(F.split(_masked("text"), "\n"))).alias("line")
+    )
+    return lines.withColumn("mark", F.xxhash64("line"))
+
+
+def _leaf(depth: int):
     lead = F.regexp_replace(F.regexp_extract("line", rf"^{WORD_GAP.replace('+', '*')}((?:{WORD}{WORD_GAP}){{0,{depth - 1}}}{WORD})", 1), WORD_GAP, " ")
-    return lines.withColumn("leaf", F.xxhash64(F.regexp_count("line", F.lit(WORD)), lead)).withColumn("mark", F.xxhash64("line"))
+    return F.xxhash64(F.regexp_count("line", F.lit(WORD)), lead)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its rows, of two numbers at most, are few enough; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
 def _tokens(line: str):
@@ -47,11 +60,12 @@ def _tokens(line: str):
 def templates(docs: DataFrame, *, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(lines, recurring). lines: doc_id, h1, h2, mark, template of every line in a recurring leaf;
     recurring: template, n_docs, first (h1 of the first text), shape (the template as text)."""
-    lines = _lines(docs, depth)
-    busy = stored(lines.select("leaf", "h1").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("leaf"))
-    few = busy.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = stored(lines.join(F.broadcast(busy) if few else busy, "leaf"))
-    each = rows.groupBy("leaf", "mark").agg(F.min("line").alias("line"))
+    texts = _lines(docs)
+    hashes = stored(texts.where(F.col("line").rlike(WORD)).select("doc_id", "h1", "h2", "mark", _leaf(depth).alias("leaf")))
+    busy = stored(hashes.select("leaf", "h1").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("leaf"))
+    rows = stored(hashes.join(_few(busy), "leaf"))
+    marks = stored(rows.select("leaf", "mark").distinct())
+    each = stored(texts.select("line", "mark").join(_few(marks), "mark").groupBy("leaf", "mark").agg(F.min("line").alias("line")))
     tokens = each.select("leaf", F.posexplode(_tokens("line")).alias("pos", "token"))
     counted = tokens.groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("c"))
     common = counted.groupBy("leaf", "pos").agg(F.max_by("token", F.struct("c", "token")).alias("token"), F.max("c").alias("c"), F.sum("c").alias("lines")).where("2 * c > lines")
@@ -66,20 +80,20 @@ def templates(docs: DataFrame, *, depth: int = DEPTH, similar: float = SIMILAR,
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h1")
     texts = marked.groupBy("template", "h1").agg(F.min(order).alias("o"), F.min("shape").alias("shape"))
     recurring = texts.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min_by("h1", "o").alias("first"), F.min("shape").alias("shape")).where(F.col("n_docs") >= min_docs)
-    return marked.drop("shape", "leaf"), recurring
+    return marked.drop("shape", "leaf"), stored(recurring)
 
 
 def dedup(docs: DataFrame, *, keep_first: bool = True, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
     """docs with the recurring lines taken out of text; counts adds n_lines and n_dropped."""
     marked, recurring = templates(docs, depth=depth, similar=similar, min_docs=min_docs)
-    hit = marked.join(recurring.select("template", "first"), "template")
+    hit = marked.join(_few(recurring.select("template", "first")), "template")
     if keep_first:
         hit = hit.where(F.col("h1") != F.col("first"))
     a, b, marks = (clear_of(docs, c) for c in ("_h1", "_h2", "_marks"))
     drops = hit.groupBy(F.col("h1").alias(a), F.col("h2").alias(b)).agg(F.collect_set("mark").alias(marks))  # lines of one text
     keyed = docs.withColumn(a, F.xxhash64("text")).withColumn(b, F.xxhash64(F.lit(1), "text"))
     both = keyed.join(drops, [a, b], "left")
-    masked = F.split(F.regexp_replace("text", _VARIED, VARIABLE), "\n")
+    masked = F.split(_masked("text"), "\n")
     pairs = F.arrays_zip(F.split("text", "\n").alias("raw"), masked.alias("line"))
     kept = F.filter(pairs, lambda p: ~F.array_contains(F.col(marks), F.xxhash64(p["line"])))
     text = F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda p: p["raw"]), "\n"))
