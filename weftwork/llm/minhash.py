@@ -8,8 +8,9 @@ bands keep groups of half-alike documents apart). A byte of each of the first SI
 candidates that agree in fewer than LEAST_ALIKE of them are dropped (at 0.8 that loses one in 10**6); the others are
 confirmed on their full sets, which are made again from the texts of nodes that share a band.
 
-Groups of half-alike documents would make all pairs of a group. Two bounds keep them apart inside the join of a bucket: of the last bits of all minima at most DIFFERENT differ (at 0.8
-more do with probability 1e-5), and shingles that no other open node has cannot be shared, which limits the similarity exactly. A pair is made in its first common band only.
+Groups of half-alike documents would make all pairs of a group. Two bounds keep them apart inside the join of a bucket: of one bit of each minimum at most DIFFERENT differ (at 0.8
+more do with probability 3e-5; the bit is taken from the mixed minimum, as the last bit of a minimum is that of
+its shingle, flipped or not, and small sets have few of these), and shingles that no other open node has cannot be shared, which limits the similarity exactly. A pair is made in its first common band only.
 
 Nulls: a null or wordless text has an empty set, is linked with nothing and is its own component. A
 null doc_id takes part; its group's id is the smallest that is not null. Repeated rows are copies.
@@ -75,6 +76,11 @@ def bands(least: np.ndarray) -> np.ndarray:
     return mixed((least.reshape(-1, ROWS).astype(np.uint64) * _MIX).sum(1, dtype=np.uint64))
 
 
+def coins(least: np.ndarray) -> np.ndarray:
+    """A bit of each minimum that depends on all of it: equal for equal minima, else equal in one of two cases for sets of any size."""
+    return (mixed(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+
+
 def node_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -86,7 +92,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(texts_of(part.column("text")), k)
                 nodes = [node_of(s) if len(s) else None for s in sets]
                 least = [signature(s) if len(s) else None for s in sets]
-                signs = (lambda x: bands(x).astype("<u8").tobytes(), lambda x: x[:SIGNED].astype(np.uint8).tobytes() + np.packbits(x.astype(np.uint8) & 1).tobytes())
+                signs = (lambda x: bands(x).astype("<u8").tobytes(), lambda x: x[:SIGNED].astype(np.uint8).tobytes() + np.packbits(coins(x)).tobytes())
                 made = [pa.array([None if x is None else of(x) for x in least], pa.binary()) for of in signs]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), *made], ["doc_id", "n_shingles", "hash", "bands", "signature"])
 
@@ -163,7 +169,7 @@ def groups(docs: DataFrame, *, k: int = WORDS, similar: int = SIMILAR) -> DataFr
     number = lambda c, at: F.conv(F.hex(F.substring(c, at, 8)), 16, -10).cast("long")
 
     def features(open_nodes: DataFrame) -> DataFrame:
-        """n, s (shingles that another open node has too), last bits and bands of each node."""
+        """n, s (shingles that another open node has too), bits and bands of each node."""
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
