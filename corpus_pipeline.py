@@ -35,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
-    return _counted(mixing.mix(docs, places=False))
+    """Documents as often as their source's target takes them, in the order of shards and of places in them."""
+    return _counted(mixing.mix(docs, places=False, ordered=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

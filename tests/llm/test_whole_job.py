@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
-from weftwork.llm import minhash
+import corpus_pipeline
+from weftwork.llm import minhash, mixing, queries
 
 
 def test_short_near_copies_survive_the_bound_of_bits(spark):
@@ -11,3 +12,31 @@ def test_short_near_copies_survive_the_bound_of_bits(spark):
     out = {r.doc_id: (r.component_id, r.n_links) for r in minhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out[0] == out[1] == (0, 1)
     assert all(out[i] == (i, 0) for i in range(2, len(texts)))
+
+
+def test_source_mix_deals_its_copies_to_shards(spark, sf):
+    """The query's rows add up from copies that have a shard and a place, the same ones that mix() writes."""
+    docs = queries.read(spark, sf, "documents")
+    rows = queries.op10_source_mixing(spark, sf).collect()
+    planned = {r.doc_id: (r.size, r.taken, r.copies, r.extra) for r in mixing.plan(docs)[0].collect()}
+    assert {r.doc_id: (r.size, r.taken, r.copies, r.extra) for r in rows} == planned and len(rows) == docs.count()
+    dealt = sorted((r.doc_id, t.shard, t.place) for r in rows for t in r.takes)
+    mixed = mixing.mix(docs).select("doc_id", "shard", "place").collect()
+    assert dealt == sorted(tuple(r) for r in mixed) and {s for _, s, _ in dealt} == set(range(16))
+
+
+def test_source_mix_of_the_pipeline_stands_in_order(spark, sf, tmp_path):
+    docs = queries.read(spark, sf, "documents")
+    places = [(r.shard, r.place) for r in mixing.mix(docs, ordered=True).collect()]
+    assert places == sorted(places)
+    order = [r.doc_id for r in mixing.mix(docs, ordered=True).collect()]
+    assert [r.doc_id for r in corpus_pipeline.source_mix(spark, docs, sf).collect()] == order
+
+
+def test_source_mix_of_repeated_rows(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (None, "d e", None), (2, None, "y"), (3, "f g h i", "y"), (3, "f g h i", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.shares(docs, shards=3)
+    key = ["doc_id", "size", "source_size", "target", "taken", "copies", "extra"]
+    by = lambda df: sorted(map(repr, df.select(*key).collect()))
+    assert by(out) == by(mixing.plan(docs)[0])

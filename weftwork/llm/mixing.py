@@ -153,13 +153,8 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     return node.select("shard", F.inline("k")).select("source", "shard", "first", "n").where("n > 0")
 
 
-def mix(docs: DataFrame, *, shards: int = 16, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, places: bool = True) -> DataFrame:
-    """The mix itself: docs' columns, a row for each copy taken, and with `places` its shard and its place in the shard's order.
-
-    A partial copy keeps the document's first words, joined by one space, up to the cut. Rows that repeat a doc_id and
-    a text share their copies evenly, as all of them carry the same number.
-    """
-    documents, blocks = plan(docs, weights=weights, most=most, seed=seed)
+def _dealt(each: DataFrame, blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+    """each (doc_id, _text_hash, source, block, copies, extra, ...) with a row for each copy taken: shard, place and words (of a partial copy only)."""
     # The stream of a source: all blocks of the first pass, then of the second, and so on.
     steps = blocks.where("quota > 0").select("source", "block", F.explode(F.sequence(F.lit(1).cast("long"), "quota")).alias("_pass"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy("_pass", "block")) - 1  # rows are blocks
@@ -167,17 +162,49 @@ def mix(docs: DataFrame, *, shards: int = 16, weights: tuple[int, ...] = (1, 2,
     shares = shard_quotas(blocks.groupBy("source").agg(F.sum("quota").alias("quota")), shards, seed)
     s = shares.select(F.col("source").alias("_s"), "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("_at"))
     dealt = steps.join(s, steps["source"].eqNullSafe(s["_s"]) & (steps["_at"] == s["_at"])).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "_pass", "shard")
-    # Of rows that repeat a doc_id and a text one entry stands for all, with the number of copies of each.
-    each = documents.groupBy("doc_id", "_text_hash", "source", "block").agg(F.max("copies").alias("copies"), F.max("extra").alias("extra"))
     each = each.withColumn("_n", F.col("copies") + F.when(F.col("extra") > 0, 1).otherwise(0)).where("_n > 0")
     taken = each.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n")))
-    rows = taken.join(dealt, taken["source"].eqNullSafe(dealt["_s"]) & (taken["block"] == dealt["_b"]) & (taken["_copy"] == dealt["_pass"]))
+    rows = taken.join(dealt, taken["source"].eqNullSafe(dealt["_s"]) & (taken["block"] == dealt["_b"]) & (taken["_copy"] == dealt["_pass"])).drop("_s", "_b")
     place = F.xxhash64(F.lit(seed + 1), "doc_id", "_text_hash", "_copy")
-    words = F.when(F.col("_copy") > F.col("copies"), F.col("extra"))
-    takes = rows.groupBy("doc_id", "_text_hash", F.col("source")).agg(F.collect_list(F.struct("shard", place.alias("place"), words.alias("words"))).alias("takes"))  # at most `most` + 1 copies
+    return rows.withColumn("place", place).withColumn("words", F.when(F.col("_copy") > F.col("copies"), F.col("extra")))
+
+
+def shares(docs: DataFrame, *, shards: int = 16, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, extra and takes (shard, place and words of each copy) of each row of docs, added up from the copies dealt to the shards."""
+    documents, blocks = plan(docs, weights=weights, most=most, seed=seed)
+    documents = stored(documents)
+    key = ["doc_id", "_text_hash", "source", "block", "copies", "extra"]  # rows that repeat a doc_id and a text may differ in the last two
+    rows = _dealt(documents.select(*key, "size").distinct(), blocks, shards, seed)
+    sums = rows.groupBy(*key).agg(
+        F.sum(F.coalesce("words", "size")).alias("taken"), F.count(F.when(F.col("words").isNull(), 1)).cast("int").alias("_copies"), F.coalesce(F.sum("words"), F.lit(0)).alias("_extra"),
+        F.array_sort(F.collect_list(F.struct("shard", "place", "words"))).alias("takes"),  # at most `most` + 1 copies
+    )
+    t = sums.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), "taken", F.col("_copies").alias("copies"), F.col("_extra").alias("extra"), "takes")
+    d = documents.select("doc_id", "_text_hash", "source", "block", F.col("copies").alias("_c"), F.col("extra").alias("_e"), "size", "source_size", "target")
+    same = [d[c].eqNullSafe(t[f"_k{i}"]) for i, c in enumerate(["doc_id", "_text_hash", "source", "block", "_c", "_e"])]
+    zero = lambda c: F.coalesce(c, F.lit(0).cast(t.schema[c].dataType)).alias(c)
+    takes = F.coalesce("takes", F.array().cast(t.schema["takes"].dataType)).alias("takes")
+    return d.join(t, same, "left").select("doc_id", "size", "source_size", "target", zero("taken"), zero("copies"), zero("extra"), takes)
+
+
+def mix(docs: DataFrame, *, shards: int = 16, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, places: bool = True, ordered: bool = False) -> DataFrame:
+    """The mix itself: docs' columns, a row for each copy taken, and with `places` its shard and its place in the shard's order.
+
+    ordered: partitions are ranges of shard and place, and their rows stand in this order.
+
+    A partial copy keeps the document's first words, joined by one space, up to the cut. Rows that repeat a doc_id and
+    a text share their copies evenly, as all of them carry the same number.
+    """
+    documents, blocks = plan(docs, weights=weights, most=most, seed=seed)
+    # Of rows that repeat a doc_id and a text one entry stands for all, with the number of copies of each.
+    each = documents.groupBy("doc_id", "_text_hash", "source", "block").agg(F.max("copies").alias("copies"), F.max("extra").alias("extra"))
+    rows = _dealt(each, blocks, shards, seed)
+    takes = rows.groupBy("doc_id", "_text_hash", F.col("source")).agg(F.collect_list(F.struct("shard", "place", "words")).alias("takes"))  # at most `most` + 1 copies
     d = takes.select(F.col("doc_id").alias("_d"), F.col("_text_hash").alias("_h"), F.col("source").alias("_s"), "takes")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th"), F.col("source").cast("string").alias("_src"))
     both = whole.join(d, whole["_id"].eqNullSafe(d["_d"]) & (whole["_th"] == d["_h"]) & whole["_src"].eqNullSafe(d["_s"])).select("row", F.explode("takes").alias("take"))
+    if ordered:
+        both = both.repartitionByRange("take.shard", "take.place").sortWithinPartitions("take.shard", "take.place")
     part = F.array_join(F.slice(F.filter(F.split(F.col("row.text"), WORD_GAP), lambda w: w != ""), F.lit(1), F.col("take.words").cast("int")), " ")
     text = F.when(F.col("take.words").isNotNull(), part).otherwise(F.col("row.text"))
     columns = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]

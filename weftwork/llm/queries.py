@@ -56,8 +56,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, _ = mixing.plan(read(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken", "copies", "extra")
+    return mixing.shares(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
