@@ -108,8 +108,8 @@ SQL_module_edges = f"""WITH r AS (SELECT 'page' || CAST(page_id % 20 AS VARCHAR)
 
 
 def load_order(spark, sf_dir):
-    """A dependency order of returned parts, cycles included."""
-    edges = stored(returned(spark, sf_dir))
+    """A dependency order of all parts in the chain, cycles included."""
+    edges = stored(chain(spark, sf_dir))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return graph.load_order(edges, nodes.withColumn("rank", F.col("node")))
 
@@ -142,7 +142,37 @@ def corpus_bundle(spark, sf_dir):
     return Corpus(sample_files(spark), "main").bundle()
 
 
-_ONLY_ROWS = (load_order, resolve_modules, corpus_modules, corpus_imports, corpus_cycles, corpus_live_symbols, corpus_bundle)
+def whole_topo_layers(spark, sf_dir):
+    """Layers of the whole chain with edges from the smaller to the larger part."""
+    return graph.layers(chain(spark, sf_dir).where("src < dst"))[0]
+
+
+def whole_strong_components(spark, sf_dir):
+    return graph.scc(chain(spark, sf_dir))
+
+
+def whole_circular_groups(spark, sf_dir):
+    return cycles.members_of(graph.scc(chain(spark, sf_dir))).groupBy("cycle_id").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("last"))
+
+
+def whole_closure(spark, sf_dir):
+    """Pairs that a way along forward edges of the whole chain joins."""
+    return graph.reach_pairs(chain(spark, sf_dir).where("src < dst"))
+
+
+def whole_has_cycle(spark, sf_dir):
+    edges = stored(chain(spark, sf_dir))
+    found = [("chain", graph.has_cycle(edges)), ("forward", graph.has_cycle(edges.where("src < dst")))]
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}', {str(c).lower()})" for n, c in found) + " AS t(edges, cyclic)")
+
+
+def whole_condensed_edges(spark, sf_dir):
+    edges = stored(chain(spark, sf_dir))
+    return graph.condensed(edges, graph.scc(edges))
+
+
+_WHOLE = (whole_topo_layers, whole_strong_components, whole_circular_groups, whole_closure, whole_has_cycle, whole_condensed_edges)
+_ONLY_ROWS = (*_WHOLE, load_order, resolve_modules, corpus_modules, corpus_imports, corpus_cycles, corpus_live_symbols, corpus_bundle)
 QUERIES = {k: f for k, f in list(globals().items()) if f"SQL_{k}" in globals()}
 SQL = {k: globals()[f"SQL_{k}"] for k in QUERIES}
 QUERIES |= {f.__name__: f for f in _ONLY_ROWS}
@@ -150,7 +180,7 @@ QUERIES |= {f.__name__: f for f in _ONLY_ROWS}
 
 def flagship(spark, sf_dir):
     """What the smallest part leads to along forward edges, in dependency order: reach, then layers of what is reached."""
-    edges = stored(returned(spark, sf_dir).where("src < dst"))
+    edges = stored(chain(spark, sf_dir).where("src < dst"))
     met = graph.reach(edges, edges.agg(F.min("src").alias("node")))
     own = edges.join(met.select(F.col("node").alias("src")), "src", "left_semi")
     return met.join(graph.layers(own, met.select("node"))[0], "node").select("node", "hops", "layer")
