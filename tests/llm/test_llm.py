@@ -86,16 +86,24 @@ def test_near_dedup_bears_odd_rows(odd):
 
 
 def test_linked_needs_no_star(spark):
-    """A bucket in which only pairs without its smallest node hold: the later rounds find them, also one pivot at a time."""
+    """A bucket in which only pairs without its smallest node hold: the second round finds them."""
     members = spark.createDataFrame([(1, n) for n in range(12)], "bucket long, node long")
     verify = lambda pairs: pairs.where("u > 0 and abs(u - v) = 1")
-    for most in (64, 0):
-        old, groups.PAIRS_A_MEMBER = groups.PAIRS_A_MEMBER, most
-        try:
-            _, roots = groups.linked(members, verify)
-        finally:
-            groups.PAIRS_A_MEMBER = old
-        assert {r.node: r.root for r in roots.collect()} == {n: 1 for n in range(1, 12)}
+    _, roots = groups.linked(groups.shared_members(members), verify)
+    assert {r.node: r.root for r in roots.collect()} == {n: 1 for n in range(1, 12)}
+
+
+def test_sketches_bound_the_difference():
+    """Over sets of all classes: sketches of one class never differ in more bits than the sets do in shingles."""
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 120, 128, 129, 300, 2000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.union1d(x[: max(1, int(n * 0.9))], rng.integers(0, 2**63, n // 8 + 1, dtype=np.uint64))
+        c = max(minhash.sketch_class(len(x)), minhash.sketch_class(len(y)))
+        a, b = (np.unpackbits(minhash.sketch(s, c).view(np.uint8)) for s in (x, y))
+        differ = len(np.setxor1d(x, y))
+        assert (a != b).sum() <= differ and (a != b).sum() >= 0.8 * differ
+        assert (a != b).sum() % 2 == differ % 2
 
 
 def test_substring_dedup_equals_brute_force(docs):

@@ -2,53 +2,23 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftwork.operators.storage import dropped, kept_from, measured, scratch, settle, shared_dir, stored
+
+__all__ = ["dropped", "kept_from", "measured", "scratch", "settle", "shared_dir", "stored"]
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='weftwork-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df once as a table in the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/weftwork/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def settle(df: DataFrame) -> None:
-    """Lets the driver drop what it no longer refers to, so that Spark removes the shuffle files of finished steps."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def dropped(table: DataFrame) -> None:
-    """Deletes a table of stored() that no later step reads."""
-    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if "/weftwork/" in path:
-            jvm = table.sparkSession.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def n_words(text: str = "text"):
     """Words between spaces and control gaps; null counts 0. Runs JVM-side."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import stored
-from weftwork.llm.groups import linked
+from weftwork.llm.groups import linked, shared_members
 
 LENGTH, BAND = 128, 4
 PERIOD, CLASSES = 4096, 256
@@ -221,7 +221,7 @@ def near(docs: DataFrame, least: float = 0.8) -> DataFrame:
             u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, LENGTH) for c in ("u", "v"))
             yield batch.filter(pa.array((u == v).mean(1) >= least))
 
-    _, roots = linked(members, lambda pairs: pairs.select("u", "v").mapInArrow(alike, "u binary, v binary"))
+    _, roots = linked(shared_members(members), lambda pairs: pairs.select("u", "v").mapInArrow(alike, "u binary, v binary"))
     named = table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     return named.join(smallest, "root").select("doc_id", "group_id")

@@ -8,13 +8,16 @@ bands keep groups of half-alike documents apart). A byte of each of the first SI
 candidates that agree in fewer than LEAST_ALIKE of them are dropped (at 0.8 that loses one in 10**6); the others are
 confirmed on their full sets, which are made again from the texts of nodes that share a band.
 
-Groups of half-alike documents would make all pairs of a group. Two bounds keep them apart inside the join of a bucket: of one bit of each minimum at most DIFFERENT differ (at 0.8
-more do with probability 3e-5; the bit is taken from the mixed minimum, as the last bit of a minimum is that of
-its shingle, flipped or not, and small sets have few of these), and shingles that no other open node has cannot be shared, which limits the similarity exactly. A pair is made in its first common band only.
+Groups of half-alike documents would make all pairs of a group. An exact bound keeps them apart inside the join of a
+bucket: the parity sketch of a set has a bit for each residue of a hash, set if an odd number of shingles fall on it. The
+sketches of two sets differ in at most as many bits as the sets differ in shingles, and sets of similarity t differ
+in at most (1 - t) / (1 + t) of their sizes' sum. Sketches have four bits a shingle or more, so few bits are lost to collisions.
 
 Nulls: a null or wordless text has an empty set, is linked with nothing and is its own component. A
-null doc_id takes part; its group's id is the smallest that is not null. Repeated rows are copies.
-Ties do not arise: the smallest doc_id of a component names it. An empty table gives an empty result.
+null doc_id takes part; its group's id is the smallest that is not null. Repeated rows are copies, and rows of one
+doc_id with different texts are documents each. Texts of any length are taken whole; their sets are made in numpy, 8 bytes a shingle. Other
+columns of docs take no part, whatever their names. Ties do not arise: the smallest doc_id of a component names it. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,17 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import slices, stored, texts_of
-from weftwork.llm.groups import linked
+from weftwork.llm.common import kept_from, measured, scratch, slices, stored, texts_of
+from weftwork.llm.groups import few, linked, shared_members
 from weftwork.llm.textvec import LOWERED, mixed, runs, words
 
 WORDS, HASHES, ROWS = 4, 512, 8
 SIGNED, LEAST_ALIKE = 256, 0.68
-DIFFERENT = 80
 SIMILAR = 80
 PART = 1 << 21
-#: Ids of 8 bytes that may be broadcast (nodes to find their texts, buckets to find their members); more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: Words of 64 bits of the sketch of a set of at most SKETCHED shingles; both double together for larger sets.
+SKETCH, SKETCHED = 8, 128
 _random = np.random.Generator(np.random.PCG64(77))
 _A = _random.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _random.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -76,9 +78,16 @@ def bands(least: np.ndarray) -> np.ndarray:
     return mixed((least.reshape(-1, ROWS).astype(np.uint64) * _MIX).sum(1, dtype=np.uint64))
 
 
-def coins(least: np.ndarray) -> np.ndarray:
-    """A bit of each minimum that depends on all of it: equal for equal minima, else equal in one of two cases for sets of any size."""
-    return (mixed(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+def sketch_class(n: int) -> int:
+    """How often SKETCH doubles for a set of n shingles."""
+    return max(0, -(-n // SKETCHED) - 1).bit_length()
+
+
+def sketch(shingles: np.ndarray, doublings: int) -> np.ndarray:
+    """The parity sketch as signed 64-bit words."""
+    bits = 64 * SKETCH << doublings
+    odd = (np.bincount((mixed(shingles.copy()) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def node_of(shingles: np.ndarray) -> bytes:
@@ -86,68 +95,57 @@ def node_of(shingles: np.ndarray) -> bytes:
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, th, n_shingles, hash (of the set; null if empty), bands and signature of each row."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART):
                 sets = shingle_sets(texts_of(part.column("text")), k)
                 nodes = [node_of(s) if len(s) else None for s in sets]
                 least = [signature(s) if len(s) else None for s in sets]
-                signs = (lambda x: bands(x).astype("<u8").tobytes(), lambda x: x[:SIGNED].astype(np.uint8).tobytes() + np.packbits(coins(x)).tobytes())
+                signs = (lambda x: bands(x).astype("<u8").tobytes(), lambda x: x[:SIGNED].astype(np.uint8).tobytes())
                 made = [pa.array([None if x is None else of(x) for x in least], pa.binary()) for of in signs]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), *made], ["doc_id", "n_shingles", "hash", "bands", "signature"])
+                names = ["doc_id", "th", "n_shingles", "hash", "bands", "signature"]
+                own = [part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *made], names)
 
-    return docs.mapInArrow(each, "doc_id long, n_shingles long, hash binary, bands binary, signature binary")
-
-
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+    return docs.mapInArrow(each, "doc_id long, th long, n_shingles long, hash binary, bands binary, signature binary")
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
     """nodes (hash, ...) with node: eight bytes of the hash as a number where these tell all nodes apart, else the hash itself."""
-    n = nodes.count()
     for at in (1, 9):
         half = F.conv(F.hex(F.substring("hash", at, 8)), 16, -10).cast("long")
-        if nodes.select(half.alias("node")).distinct().count() == n:
+        if nodes.groupBy(half.alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             return nodes.withColumn("node", half)
     return nodes.withColumn("node", F.col("hash"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """hash, shingles (sorted 64-bit hashes) of the wanted nodes (hash, rep), from the text of their smallest document."""
-    ids = _few(wanted.select(F.col("rep").alias("_rep"), F.col("hash").alias("_node")))
-    own = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_rep"))).select("_node", "text")
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, k: int) -> DataFrame:
+    """node, shingles (sorted 64-bit hashes) of the n wanted nodes (node, hash, rep), from the text of one of their documents."""
+    ids = few(wanted.select(F.col("rep.th").alias("_th"), F.col("rep.doc_id").alias("_rep"), F.col("hash").alias("_hash"), "node"), n)
+    own = docs.join(ids, (docs["th"] == F.col("_th")) & docs["doc_id"].eqNullSafe(F.col("_rep"))).select("node", "_hash", "text")
+    kind = wanted.schema["node"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART):
                 sets = shingle_sets(texts_of(part.column("text")), k)
-                rows = [(n, s.tobytes()) for n, s in zip(part.column("_node").to_pylist(), sets, strict=True) if len(s) and node_of(s) == n]
-                columns = list(zip(*rows, strict=True)) or [[], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["hash", "shingles"])
+                fine = [len(s) > 0 and node_of(s) == h for s, h in zip(sets, part.column("_hash").to_pylist(), strict=True)]
+                out = part.select(["node"]).filter(pa.array(fine, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([out.column(0), pa.array([s.tobytes() for s, f in zip(sets, fine, strict=True) if f], pa.binary())], ["node", "shingles"])
 
-    return own.mapInArrow(each, "hash binary, shingles binary").dropDuplicates(["hash"])
+    return own.mapInArrow(each, f"node {kind}, shingles binary").dropDuplicates(["node"])
 
 
-def groups(docs: DataFrame, *, k: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's set) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = stored(_signed(docs, k))
-    first = [F.first(c).alias(c) for c in ("bands", "signature")]
-    nodes = stored(_numbered(stored(table.where("hash is not null").groupBy("hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *first))))
-    band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1))).alias("band")
-    all_members = nodes.select("node", "bands", band).select(F.xxhash64("band", F.substring("bands", F.col("band") * 8 + 1, F.lit(8))).alias("bucket"), "node")
-    shared = stored(all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket"))
-    members = stored(all_members.join(_few(shared), "bucket"))
-    wanted = stored(nodes.join(members.select("node").distinct(), "node"))
-    sets = stored(_sets(docs, wanted.select("hash", "rep"), k).join(wanted.select("hash", "node"), "hash").select("node", "shingles"))
-    kind = nodes.schema["node"].dataType.simpleString()
+def _verifier(wanted: DataFrame, sets: DataFrame, similar: int):
+    """verify(pairs): the pairs (u, v) whose signatures are alike and whose sets are similar."""
+    kind = wanted.schema["node"].dataType.simpleString()
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNED + HASHES // 8)[:, :SIGNED] for c in ("su", "sv"))
-            fine = (a == b).mean(1) >= LEAST_ALIKE
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(fine))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNED) for c in ("su", "sv"))
+            yield batch.select(["u", "v"]).filter(pa.array((a == b).mean(1) >= LEAST_ALIKE))
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,55 +154,77 @@ def groups(docs: DataFrame, *, k: int = WORDS, similar: int = SIMILAR) -> DataFr
                 x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 fine.append(100 * both >= similar * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(fine, pa.bool_()))
+            yield batch.select(["u", "v"]).filter(pa.array(fine, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
         u = wanted.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("signature").alias("su"))
         v = wanted.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("signature").alias("sv"))
         close = pairs.join(u, "u").join(v, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * similar)
         left = stored(close.select("u", "v", "su", "sv").mapInArrow(alike, f"u {kind}, v {kind}"))
-        both = left.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-        return both.select("u", "v", "a", "b").mapInArrow(confirmed, f"u {kind}, v {kind}")
-
-    number = lambda c, at: F.conv(F.hex(F.substring(c, at, 8)), 16, -10).cast("long")
-
-    def features(open_nodes: DataFrame) -> DataFrame:
-        """n, s (shingles that another open node has too), bits and bands of each node."""
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for node, own in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                    g = np.frombuffer(own, "<i8")
-                    yield pa.RecordBatch.from_arrays([pa.array([node] * len(g), batch.schema.field("node").type), pa.array(g)], ["node", "g"])
-
-        each = stored(sets.join(open_nodes, "node").select("node", "shingles").mapInArrow(spread, f"node {kind}, g long"))
-        shared_by = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("g"))
-        s = each.join(shared_by, "g").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
-        bits = F.array(*[number("signature", SIGNED + 1 + 8 * i) for i in range(HASHES // 64)])
-        lanes = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("bands", i * 8 + 1, F.lit(8))))
-        f = F.struct("n", F.coalesce("s", F.lit(0)).alias("s"), bits.alias("bits"), lanes.alias("lanes"))
-        return wanted.join(open_nodes, "node").join(s, "node", "left").select("node", f.alias("f"))
-
-    def possible():
-        n = F.col("fu.n") + F.col("fv.n")
-        bound = F.least("fu.s", "fv.s") * (100 + similar) >= n * similar
-        sizes = F.least("fu.n", "fv.n") * 100 >= F.greatest("fu.n", "fv.n") * similar
-        differ = sum((F.bit_count(F.col("fu.bits")[i].bitwiseXOR(F.col("fv.bits")[i])) for i in range(HASHES // 64)), F.lit(0))
-        both = F.array_position(F.zip_with("fu.lanes", "fv.lanes", lambda a, b: a == b), True)
-        return sizes & bound & (differ <= DIFFERENT) & (F.get(F.col("fu.lanes"), (both - 1).cast("int")) == F.col("bucket"))
-
-    edges, roots = linked(members, verify, features, possible)
-    links = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "hash", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_hash = named.join(smallest, "root").join(links, "node", "left").select("hash", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        return left.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(confirmed, f"u {kind}, v {kind}")
+
+    return verify
+
+
+def _sketches(sets: DataFrame):
+    """features(nodes): node, f (n, c, own: the sketch of its class, next: that of the class after it) of the nodes."""
+    kind = sets.schema["node"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = [np.frombuffer(s, "<u8") for s in batch.column("shingles").to_pylist()]
+            c = [sketch_class(len(s)) for s in shingles]
+            own, after = ([sketch(s, x + more) for s, x in zip(shingles, c, strict=True)] for more in (0, 1))
+            longs = [pa.array(x, pa.list_(pa.int64())) for x in (own, after)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in shingles], pa.int64()), pa.array(c, pa.int32()), *longs], ["node", "n", "c", "own", "next"])
+
+    def features(nodes: DataFrame) -> DataFrame:
+        made = sets.join(nodes, "node").select("node", "shingles").mapInArrow(each, f"node {kind}, n long, c int, own array<long>, next array<long>")
+        return made.select("node", F.struct("n", "c", "own", "next").alias("f"))
+
+    return features
+
+
+def _possible(similar: int):
+    """The condition on fu and fv that all similar sets fulfil. Similar sets differ by one class at most."""
+    sizes = F.least("fu.n", "fv.n") * 100 >= F.greatest("fu.n", "fv.n") * similar
+    u, v = (F.when(F.col(f"{x}.c") < F.col(f"{y}.c"), F.col(f"{x}.next")).otherwise(F.col(f"{x}.own")) for x, y in (("fu", "fv"), ("fv", "fu")))
+    differ = F.aggregate(F.zip_with(u, v, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+    return sizes & (differ * (100 + similar) <= (F.col("fu.n") + F.col("fv.n")) * (100 - similar))
+
+
+def groups(docs: DataFrame, *, k: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's set) of every row."""
+    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lean = lean.withColumn("th", F.xxhash64("text"))
+    with scratch(docs.sparkSession) as paths:
+        table = stored(_signed(lean, k))
+        first = [F.first(c).alias(c) for c in ("bands", "signature")]
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+        nodes = stored(table.where("hash is not null").groupBy("hash").agg(F.min(order).alias("rep"), F.first("n_shingles").alias("n"), *first))
+        nodes = _numbered(nodes)
+        each = nodes.select("node", "bands", F.explode(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1))).alias("band"))
+        bucket = F.xxhash64("band", F.substring("bands", F.col("band") * 8 + 1, F.lit(8)))
+        members = shared_members(each.select(bucket.alias("bucket"), "node"))
+        wanted, m = measured(nodes.drop("bands").join(members.select("node").distinct(), "node"))
+        sets = stored(_sets(lean, wanted, m["n"], k))
+        edges, roots = linked(members, _verifier(wanted, sets, similar), _sketches(sets), lambda: _possible(similar))
+        links = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        grouped = stored(wanted.select("node", F.col("rep.doc_id").alias("doc_id")).join(roots, "node"))
+        smallest, m = measured(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+        named = grouped.join(few(smallest, m["n"]), "root").join(links, "node", "left").select("node", "component_id", "n_links")
+        own = nodes.select("hash", "node", F.col("rep.doc_id").alias("doc_id")).join(named, "node", "left")
+        by_hash = stored(own.select("hash", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+        for left in (table, by_hash):
+            kept_from(paths, left)
     out = table.select("doc_id", "n_shingles", "hash").join(by_hash, "hash", "left")
     component = F.when(F.col("hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    kept = F.coalesce(component == F.col("doc_id"), component.isNull())
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group: that of its smallest doc_id."""
     kept = groups(docs, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    return out
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
