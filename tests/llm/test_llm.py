@@ -386,6 +386,36 @@ def test_shard_quotas_split_exactly(spark):
             at += r.n
 
 
+def test_draws_of_large_quotas(spark):
+    """Against the exact distribution for small numbers; within its spread for numbers whose support could not be listed."""
+    from math import comb
+
+    cases = [(50, 20, 13), (9, 9, 4), (7, 0, 3), (1000, 3, 500), (12, 5, 12)]
+    rows = [(t, g, d, (i + 0.5) / 400) for t, g, d in cases for i in range(400)]
+    long = spark.createDataFrame(rows, "t long, g long, d long, u double")
+    got = {}
+    for r in long.withColumn("k", mixing._hypergeometric(F.col("t"), F.col("g"), F.col("d"), F.col("u"))).collect():
+        got.setdefault((r.t, r.g, r.d), []).append((r.u, r.k))
+    for t, g, d in cases:
+        total, seen = 0.0, {}
+        for k in range(max(0, d - (t - g)), min(g, d) + 1):
+            low = total
+            total += comb(g, k) * comb(t - g, d - k) / comb(t, d)
+            seen[k] = (low, total)
+        assert all(seen[k][0] - 1e-9 <= u <= seen[k][1] + 1e-9 for u, k in got[t, g, d])
+    n = 10**9
+    big = spark.range(50).select(mixing._hypergeometric(*(F.lit(x).cast("long") for x in (3 * n, n, n)), (F.col("id") + 0.5) / 50).alias("k"))
+    off = [(r.k - n / 3) / (n * 4 / 27) ** 0.5 for r in big.collect()]
+    assert off == sorted(off) and abs(sum(off) / 50) < 0.05 and 2 < off[-1] < 3
+
+
+def test_another_seed_takes_other_blocks(spark, docs):
+    taken = [{r.doc_id for r in mixing.plan(docs, seed=s)[0].where("taken > copies * size").collect()} for s in (7, 8)]
+    again = {r.doc_id for r in mixing.plan(docs, seed=7)[0].where("taken > copies * size").collect()}
+    orders = [[r.doc_id for r in mixing.mix(docs, seed=s).orderBy("shard", "place").collect()] for s in (7, 8)]
+    assert taken[0] == again and orders[0] != orders[1]
+
+
 def test_pipeline_keeps_columns_and_documents(spark, sf, docs):
     import corpus_pipeline
 

@@ -1,7 +1,7 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree.
 
 A source's documents, in a random order that depends only on the seed, make up its stream of
-words, cut into blocks of a few hundred documents. Whole passes repeat every document; the
+words, cut into blocks of a few hundred documents (MOST_BLOCKS a source at most). Whole passes repeat every document; the
 last pass takes blocks from the start of the stream until the target is met, and stops on
 a word. The blocks of all passes are shared out: the root of a binary tree holds each
 source's block quota, and each node splits its quotas between its two children as drawing
@@ -14,7 +14,8 @@ blocks are bounded, and no task gathers a source: sums go source, then block, th
 
 Nulls: a null text has size 0; a null source is a source of its own, last in the order; a null
 doc_id is drawn as any other. Repeated rows count as often as they stand. Ties of the random key
-go by doc_id and text hash. An empty table gives an empty result.
+go by doc_id and text hash. Long texts count by their words; only a cut copy is split into them. Further columns, whatever
+their names, stay out of the joins and come back with their rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from weftwork.llm.common import WORD_GAP, n_words, narrow, stored
 
 #: Documents of a block on average; the only rows that are ranked together are those of one block.
 BLOCK_DOCUMENTS = 512
+#: Blocks of a source; larger sources have larger blocks, so that neither its blocks nor the draws over them grow without end.
+MOST_BLOCKS = 1 << 16
+#: Standard deviations round the mean in which a draw is sought.
+REACH = 12
 #: The random key has 52 bits, which doubles hold exactly.
 KEY_BITS = 52
 
@@ -69,7 +74,7 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float =
     )
     sizes = lean.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("_docs"))
     rates = target_rates(sizes, weights, most).select(
-        F.col("source").alias("_s"), F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.ceil(F.col("_docs") / BLOCK_DOCUMENTS)).alias("_blocks")
+        F.col("source").alias("_s"), F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("_docs") / BLOCK_DOCUMENTS))).alias("_blocks")
     )
     # Sources may be many: a join, which Spark splits where one source has most rows.
     placed = lean.join(rates, lean["source"].eqNullSafe(rates["_s"])).drop("_s").withColumn("block", F.floor(F.col("_key") * F.col("_blocks") / F.lit(float(2**KEY_BITS))).cast("long"))
@@ -106,19 +111,35 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float =
 def _hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
     """How many of `good` among `total` are in a draw of `drawn`: inverts the distribution at u (0 to 1).
 
-    The weights follow from one another by their ratio, in logarithms, over the support only.
+    The weights follow from one another by their ratio, in logarithms, over the values within REACH standard deviations of
+    the mean; what lies beyond weighs less than doubles can tell. So the cost grows with the root of the numbers.
+    Two passes over these values keep three numbers each: one for the sum of the weights, one for the place of u in it.
     """
     low = F.greatest(F.lit(0), drawn - (total - good))
     high = F.least(drawn, good)
-    ratio = lambda k: F.log((good - k) * (drawn - k)) - F.log((k + 1.0) * (total - good - drawn + k + 1))
-    steps = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<long>"))
-    logs = F.aggregate(steps, F.array(F.lit(0.0)), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + ratio(k))))
-    top = F.array_max(logs)
-    mass = F.transform(logs, lambda x: F.exp(x - top))
-    want = u * F.aggregate(mass, F.lit(0.0), lambda a, x: a + x)
-    begin = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("k"))
-    end = F.aggregate(mass, begin, lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["k"] + F.when(a["sum"] + x < want, 1).otherwise(0)).cast("long").alias("k")))
-    return F.least(high, low + end["k"])
+    mean = drawn.cast("double") * good / F.greatest(total, F.lit(1))
+    reach = F.lit(REACH) * F.sqrt(F.greatest(F.lit(0.0), mean * (1 - good / F.greatest(total, F.lit(1))) * (total - drawn) / F.greatest(total - 1, F.lit(1)))) + REACH
+    first = F.greatest(low, F.floor(mean - reach)).cast("long")
+    last = F.least(high, F.ceil(mean + reach)).cast("long")
+    ratio = lambda k: F.log((good - k).cast("double") * (drawn - k)) - F.log((k + 1.0) * (total - good - drawn + k + 1))
+    steps = F.when(last > first, F.sequence(first, last - 1)).otherwise(F.array().cast("array<long>"))
+
+    def weigh(s: Column, k: Column) -> Column:
+        at = s["at"] + ratio(k)
+        top = F.greatest(s["top"], at)
+        return F.struct(at.alias("at"), top.alias("top"), (s["sum"] * F.exp(s["top"] - top) + F.exp(at - top)).alias("sum"))
+
+    whole = F.aggregate(steps, F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("top"), F.lit(1.0).alias("sum")), weigh)
+
+    def place(s: Column, k: Column) -> Column:
+        at = s["at"] + ratio(k)
+        passed = s["sum"] < s["want"]  # the weights up to k do not reach u
+        return F.struct(at.alias("at"), s["top"].alias("top"), s["want"].alias("want"), (s["sum"] + F.exp(at - s["top"])).alias("sum"), (s["n"] + passed.cast("long")).alias("n"))
+
+    begin = lambda w: F.struct(F.lit(0.0).alias("at"), w["top"].alias("top"), (u * w["sum"]).alias("want"), F.exp(-w["top"]).alias("sum"), F.lit(0).cast("long").alias("n"))
+    # An array of one carries the first pass into the second, so that it is made once.
+    found = F.transform(F.array(whole), lambda w: F.aggregate(steps, begin(w), place))[0]
+    return F.least(last, first + found["n"])
 
 
 def shard_quotas(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
