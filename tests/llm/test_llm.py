@@ -280,10 +280,44 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(frame.limit(0)).count() == 0
 
 
+def shapes_of(spark, lines, **options):
+    *_, found = line_dedup.templates(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), **options)
+    return sorted(r["shape"] for r in found.collect())
+
+
 def test_line_templates_have_variable_fields(spark):
-    rows = [(d, f"Posted by the user {n} on our friendly board here") for d, n in enumerate(["ann", "bob", "cid", "dan", "eve", "fay"])]
-    _, found = line_dedup.templates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert [r["shape"] for r in found.collect()] == ["Posted by the user <*> on our friendly board here"]
+    names = ["ann", "bob", "cid", "dan", "eve", "fay"]
+    post = [f"Posted by the user {n} on our friendly board here" for n in names]
+    assert shapes_of(spark, post) == ["Posted by the user <*> on our friendly board here"]
+    # Two families of one leaf, each of them among ordinary lines of that leaf.
+    seen = [f"Posted by the admin {n} for all those who read" for n in names]
+    rng = random.Random(3)
+    prose = ["Posted by the " + " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(7)) for _ in range(300)]
+    both = ["Posted by the admin <*> for all those who read", "Posted by the user <*> on our friendly board here"]
+    assert shapes_of(spark, post + seen) == both and shapes_of(spark, post + seen + prose) == both
+    # Two fields of few values each, no pair of which recurs.
+    pairs = [f"Sent from my {a} with much {b} from far away today" for a in names for b in ("love", "joy", "care", "hope", "luck")]
+    assert len(shapes_of(spark, pairs)) >= 1
+    rows = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
+    assert line_dedup.dedup(rows, keep_first=False).where("text != ''").count() == 0
+    # Variants of a line that recurs exactly join it; a line alike in too few tokens does not.
+    exact = ["All rights reserved by the owner of this site"] * 6
+    more = exact[:1] + [f"{e}\nown {n}" for e, n in zip(exact, names, strict=True)] + ["All rights reserved by the owner of this blog", "All rights reserved for whoever wants them so much"]
+    assert shapes_of(spark, more)[0].startswith("All rights reserved by the owner of this")
+    out = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).collect()}
+    assert out[0] == exact[0] and out[7] == "" and out[8] == more[8] and all(out[i + 1] == f"own {n}" for i, n in enumerate(names))
+
+
+def test_line_dedup_bears_odd_rows(spark, odd):
+    frame = odd.withColumn("n_lines", F.lit(1)).withColumn("a.b", F.lit(2))
+    out = line_dedup.dedup(frame, counts=True)
+    assert out.columns == [*frame.columns, "n_lines_", "n_dropped"]
+    want = sorted(map(repr, frame.select("doc_id", "text").collect()))
+    assert sorted(map(repr, out.select("doc_id", "text").collect())) == want
+    long = "\n".join(f"line {chr(97 + i % 26)}x{chr(97 + i // 26 % 26)} of the text" for i in range(2000))
+    rows = [(None, "same words in every text here"), *((i, f"{'abcdef'[i]} {long}\nsame words in every text here") for i in range(6))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].endswith("here") and got[None] == ""
 
 
 def test_url_rules_and_parts(spark):
