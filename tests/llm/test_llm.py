@@ -126,6 +126,29 @@ def test_substring_dedup_of_planted_passages(spark):
     assert got[3][1] == 0 and got[9] == got[10] == (0, 0, hashlib.sha256(b"").hexdigest())
 
 
+def test_factors_are_copies_of_their_references(docs):
+    """Every factor's words stand at its place in the reference, none can go on, and factors do not overlap."""
+    texts = {r.doc_id: words(r.text) for r in docs.collect()}
+    long = 0
+    for r in substring.dedup(docs).collect():
+        at = 0
+        for f in r.factors:
+            assert at <= f.start < f.end
+            own, ref = texts[r.doc_id], texts[f.ref_doc_id]
+            n = f.end - f.start
+            assert own[f.start : f.end] == ref[f.ref_start : f.ref_start + n]
+            long += n > substring.WINDOW * 2
+            at = f.end
+    assert long > 10
+
+
+def test_parse_is_greedy():
+    matches = [(0, 40, 1, 100), (30, 80, 1, 130), (20, 70, 2, 0), (200, 240, 3, 5)]
+    assert substring.parse(matches) == [(0, 80, 1, 100), (200, 240, 3, 5)]
+    assert substring.parse([(0, 40, 1, 0), (10, 60, 2, 0), (20, 61, 3, 0), (59, 100, 4, 0)]) == [(0, 40, 1, 0), (40, 61, 3, 20), (61, 100, 4, 2)]
+    assert substring.parse([]) == []
+
+
 def test_substring_dedup_bears_odd_rows(odd):
     got = substring.dedup(odd).collect()
     assert len(got) == len(ODD) and sum(r.n_removed == 3000 for r in got) == 2
