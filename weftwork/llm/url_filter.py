@@ -8,8 +8,8 @@ n-grams follow as a sum. The weights have DIMENSIONS entries whatever the input,
 scan as one literal: judging urls is a projection without any shuffle.
 
 Nulls: a null url, or one without `://`, has empty host and path and an allow verdict, unless a
-rule fits. Repeated rows are judged alike. Ties between rules of the same length go to the block rule. An
-empty table gives an empty result.
+rule fits. Repeated rows are judged alike. Ties between rules of the same length go to the block rule. Urls of any length
+are taken whole. Other columns take no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,20 +26,31 @@ SIZES = (3, 4, 5)
 MOST_LABELLED = 1000
 MOST_INLINE_RULES = 200
 
-#: Names of hosts that carry what a corpus does not want, and of ordinary ones.
-UNWANTED = ["casino-royal", "best-casino", "online-casino", "casino", "sure-bets", "bets-today", "freebets", "poker-win", "slots-win", "pills-shop", "discount-pills", "cheap-meds", "viagra-pills", "cheap-watches", "cheap-loans", "adult-video", "xxx-adult", "adult", "porn-tube", "sex-cams", "spam-links", "spam", "link-farm", "article-farm", "ads-server", "ads", "ad-track", "track-pixel", "popup-ads", "warez-crack"]
-ORDINARY = ["gardening", "history-museum", "travel-notes", "city-library", "weather", "compiler-docs", "wiki", "cooking-at-home", "world-news", "physics-lectures", "football-club", "music-school", "woodwork", "therapy-notes", "winter-sports", "birds", "health-advice", "bookshop", "trains", "hospital", "photography", "open-data", "chess-club", "languages", "council", "astronomy", "theatre", "knitting", "river-boats", "old-maps"]
-#: What stands before a name and after it, alike for both kinds.
-FRAMES = [("http://", ".example.com/en/12"), ("https://www.", ".example.net/de/344.html"), ("https://blog.", ".example.org/fr/57?page=2"), ("http://m.", ".example.com/es/9/")]
+#: The labelled table's words, chosen by hand for this engine: what commonly names unwanted sites, and what names ordinary ones.
+UNWANTED = (
+    "casino poker slots roulette bets betting jackpot lottery viagra pills meds pharma xxx porn adult escort hookup payday loans replica warez keygen ads adserver popup tracker clickbait spam linkfarm backlinks"
+).split()
+ORDINARY = (
+    "library museum garden history travel weather recipes science physics biology football school council hospital theatre music chess trains maps news books birds cooking languages astronomy photos woodwork rivers choir parish "
+    "university compiler tutorial forum gallery archive bakery dentist climbing sailing poetry novels radio weaving allotment bridge geology insects railway planets dictionary grammar village orchestra ceramics hiking mountain harbour lighthouse orchard"
+).split()
+#: What stands beside a word, and round a name; alike for both labels.
+BESIDE = "best free cheap online my the top new city daily".split()
+FRAMES = [("https://", ".com/"), ("http://www.", ".net/index.html"), ("https://shop.", ".org/item/7"), ("http://m.", ".info/a?id=3"), ("https://blog.", ".net/2019/post")]
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled table: each name in two of the frames, so that only the names tell the kinds apart."""
+def labelled_urls(skip: int = 0) -> list[tuple[str, int]]:
+    """Urls with their labels, 1 for unwanted: three of each unwanted word and two of each ordinary one, of which there are twice as many.
+
+    What stands beside a word and round it changes from url to url; those of another skip are urls that a table of skip 0 holds out.
+    """
     rows = []
-    for names, label in ((UNWANTED, 1), (ORDINARY, 0)):
-        for i, name in enumerate(names):
-            for k in (0, 1):
-                before, after = FRAMES[(i + k * (1 + i // 4 % 3)) % 4]
+    for words, label, each in ((UNWANTED, 1, 3), (ORDINARY, 0, 2)):
+        for i, word in enumerate(words):
+            for k in range(skip, skip + each):
+                other = BESIDE[(i + 3 * k) % len(BESIDE)]
+                name = f"{other}-{word}" if (i + k) % 2 else f"{word}-{other}"
+                before, after = FRAMES[(i + k) % len(FRAMES)]
                 rows.append((before + name + after, label))
     return rows
 
@@ -81,7 +92,7 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*out)
 
 
-def train(labelled: DataFrame, *, steps: int = 200, rate: float = 6.0, ridge: float = 1e-3) -> list[float]:
+def train(labelled: DataFrame, *, steps: int = 400, rate: float = 25.0, ridge: float = 1e-5) -> list[float]:
     """Weights of the DIMENSIONS buckets, and last the bias, from (url, label). Rows without url or label are left out."""
     rows = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label")).groupBy("url").agg(F.max("label").alias("label"))
     if rows.limit(MOST_LABELLED + 1).count() > MOST_LABELLED:
