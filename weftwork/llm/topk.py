@@ -7,13 +7,15 @@ threshold over its own and the bucket's length is a threshold for the cosine, by
 either a coordinate range (COORD) or a prefix by length (LENGTH) is scanned, whichever leaves fewer. Products
 of what is left are exact integers.
 
-All vectors are candidates of all queries, so buckets meet query blocks by an equi-join on the bucket's
-number: a query block is sent to each bucket once, and the result has k rows of each query and bucket.
+All vectors are candidates of all queries. Which buckets a block needs is found on narrow tables first: buckets are ranked by
+their longest vector, so a block needs the first n of them, n found by halving; then an equi-join on the rank sends the block to these
+buckets and to no other, and the result has k rows of each query and bucket.
 
 Nulls: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without an id. Vectors of
 other dimensions than the query's are no candidates. Rows that repeat the query's id count as its own row; of
 queries of one id the smallest vector asks; repeated candidates are candidates each. Ties go to
-the smaller id. Components beyond 2**31 or products beyond 2**53 are computed exactly and clamp at 64 bits. An empty table gives an empty result.
+the smaller id. Components beyond 2**31 or products beyond 2**53 are computed exactly and clamp at 64 bits; thresholds are rounded down. Columns
+other than the id and the vector take no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import stored
+from weftwork.llm.common import measured, stored
 
 BUCKET, BLOCK = 8192, 1024
+#: Bytes that may be broadcast: the first bucket of each dimension, or the buckets' lengths; more is joined by a shuffle with SALTS copies.
+MOST_BROADCAST, SALTS = 64 << 20, 32
 _BLOCKS = "block long, dim int, longest double, ids binary, vectors binary, wide boolean"
 
 
@@ -79,6 +83,12 @@ def _matrix(raw: bytes, wide: bool, dim: int) -> np.ndarray:
     return np.frombuffer(raw, "<i8" if wide else "<i4").reshape(-1, dim)
 
 
+def _below(product) -> float:
+    """The largest double that is not above an exact product."""
+    f = float(product)
+    return f if int(f) <= int(product) else float(np.nextafter(f, -np.inf))
+
+
 class Bucket:
     """One bucket's vectors, longest first, with what the scans need."""
 
@@ -153,6 +163,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, bucket: int = BUCK
     queries = queries.groupBy("id").agg(F.min(F.struct("v", "dim", "norm2")).alias("q")).select("id", "q.*")
     buckets, blocks = _buckets(vectors, bucket), _buckets(queries, block)
     first = buckets.groupBy("dim").agg(F.max_by(F.struct("ids", "vectors", "wide"), F.struct("longest", -F.col("block"))).alias("b"))
+    first, m = measured(first, bytes=F.sum(F.length("b.ids") + F.length("b.vectors")))
+    asked = blocks.select("block", "dim", "ids", "vectors", "wide")
+    if (m["bytes"] or 0) <= MOST_BROADCAST:
+        begun = asked.join(F.broadcast(first), "dim")
+    else:  # blocks of one dimension are dealt over SALTS copies of its first bucket
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        begun = asked.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(salted, ["dim", "salt"])
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,16 +178,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, bucket: int = BUCK
                 least = np.full(len(ids), -np.inf)
                 for i, _, products in b.best(ids, own, least, k):
                     if len(products) == k:
-                        least[i] = float(products[-1])
+                        least[i] = _below(products[-1])
                 lengths = np.sqrt((own.astype(float) ** 2).sum(1))
                 need = float(np.min(np.where(lengths > 0, least / np.maximum(lengths, 1e-300), -np.inf)))
-                yield pa.RecordBatch.from_pylist([{"dim": row["dim"], "q_ids": row["ids"], "q_vectors": row["vectors"], "q_wide": row["wide"], "least": least.astype("<f8").tobytes(), "need": need}], pa.schema([("dim", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()), ("q_wide", pa.bool_()), ("least", pa.binary()), ("need", pa.float64())]))
-
-    seeded = stored(blocks.select("dim", "ids", "vectors", "wide").join(first, "dim").mapInArrow(seed, "dim int, q_ids binary, q_vectors binary, q_wide boolean, least binary, need double"))
-    n = buckets.count()
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("slot")
-    slots = max(1, n)
-    pairs = seeded.select("*", numbers).join(buckets.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")), ["dim", "slot"]).where(F.col("longest") * (1 + 1e-9) >= F.col("need"))
+                yield pa.RecordBatch.from_pylist([{"asked": row["block"], "dim": row["dim"], "q_ids": row["ids"], "q_vectors": row["vectors"], "q_wide": row["wide"], "least": least.astype("<f8").tobytes(), "need": need}], pa.schema([("asked", pa.int64()), ("dim", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()), ("q_wide", pa.bool_()), ("least", pa.binary()), ("need", pa.float64())]))
+
+    begun = begun.select("block", "dim", "ids", "vectors", "wide", "b")
+    seeded = stored(begun.mapInArrow(seed, "asked long, dim int, q_ids binary, q_vectors binary, q_wide boolean, least binary, need double"))
+    by_length = Window.partitionBy("dim").orderBy(F.desc("longest"), "block")  # a narrow row for each bucket
+    ranked, m = measured(buckets.select("dim", "longest", "block").withColumn("rank", F.row_number().over(by_length) - 1))
+    lengths = ranked.groupBy("dim").agg(F.array_sort(F.collect_list(-F.col("longest"))).alias("falling"))  # 8 bytes a bucket
+    lengths = F.broadcast(lengths) if m["n"] * 8 <= MOST_BROADCAST else lengths
+    least = -F.col("need") / (1 + 1e-9)
+    narrow = seeded.select("asked", "dim", "need").join(lengths, "dim")
+    half = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+    halved = lambda s, _: F.when(s["low"] >= s["high"], s).when(
+        F.get("falling", half(s)) <= least, F.struct((half(s) + 1).alias("low"), s["high"].alias("high"))
+    ).otherwise(F.struct(s["low"].alias("low"), half(s).alias("high")))
+    begin = F.struct(F.lit(0).alias("low"), F.size("falling").alias("high"))
+    reached = F.aggregate(F.sequence(F.lit(0), F.lit(max(1, m["n"]).bit_length())), begin, halved)["low"]
+    needed = narrow.withColumn("_n", reached).where("_n > 0").select("asked", "dim", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("rank"))
+    numbered = needed.join(ranked.select("dim", "rank", "block"), ["dim", "rank"]).select("asked", "block")
+    pairs = seeded.drop("dim", "need").join(numbered, "asked").join(buckets, "block")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[int, Bucket] | None = None
