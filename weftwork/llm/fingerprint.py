@@ -5,14 +5,15 @@ moves on by one if the coin of (j, character) says so, else it stays. After an e
 pointers drift apart and meet again by chance, so texts at a small edit distance agree at most
 steps, a small Hamming distance. The fingerprint samples LENGTH steps, by rules that depend on
 the walk's length alone and change little with it, and keeps one byte of the characters at the pointer
-there. Likeness is the share of equal bytes. Near pairs come from bit-sampled banding: BAND sampled bytes make
-a band, texts that share a band are verified by their likeness.
+there. Likeness is the share of equal bytes. Near texts come from bit-sampled banding: BAND sampled bytes make
+a band, texts that share a band are verified by their likeness (at 0.8 a pair shares none of the 32 bands with probability 5e-8), and
+links make groups. Inside a band, what is not linked with its first text is compared on its fingerprint before a pair is made.
 
 The walk is the same for equal beginnings, so an edited text goes on from where the kept part ended.
 
-Nulls: a null text is empty; all empty texts have the same fingerprint, which agrees with no other. Rows are ordered by falling doc_id, null last, ties by
-text; the next row of the last one is the first. A single row is its own next. Repeated rows have equal fingerprints. An
-empty table gives an empty result.
+Nulls: a null text is empty; all empty texts have the same fingerprint, which agrees with no other, and are one group. Rows are ordered by falling doc_id, null last, ties by
+text; the next row of the last one is the first. A single row is its own next. Repeated rows have equal fingerprints. Texts of any length are walked
+whole. Columns other than doc_id and text take no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import stored
-from weftwork.llm.groups import linked, shared_members
+from weftwork.llm.common import kept_from, measured, scratch, settle, stored
+from weftwork.llm.groups import few, linked, shared_members
 
-LENGTH, BAND = 128, 4
+LENGTH, BAND, LIKE = 128, 4, 0.8
 PERIOD, CLASSES = 4096, 256
-#: Documents of one ordered bucket, and characters that are walked together.
-BUCKET_DOCUMENTS, PART, MOST_RANGES = 2000, 1 << 21, 20_000
+#: Documents of one ordered range, and characters that are walked together.
+BUCKET_DOCUMENTS, PART = 2000, 1 << 21
+#: Ranges, each a number that the driver holds. More than 400 million documents make longer ranges; a task streams its range, so its memory stays.
+MOST_RANGES = 200_000
 #: Below so many texts at once, walking each by itself is faster.
 FEW = 24
 
@@ -151,17 +154,18 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id of every row.
 
     The edited text: the last half of the code points gives way to the first as many (or all) of the next row's text.
+    group_id: the smallest doc_id among documents linked by a likeness of LIKE or more.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt, ranges = _ordered(docs)
     ordered = dealt.repartition(ranges, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        names = ["doc_id", "n_chars", "sha", "print", "edited", "near_edited", "near_next"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [[]] * 7
@@ -185,7 +189,7 @@ def compare(docs: DataFrame) -> DataFrame:
                 n = len(codes[i])
                 edited = sampled(np.concatenate((codes[i][: n - h], tail)), np.concatenate((came[i][: n - h], w)), int(s)).tobytes()
                 text = items[i][3][: n - h] + items[i + 1][3][:h]
-                rows.append((items[i][2], n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), prints[i].hex(), edited.hex(), likeness(prints[i], edited), likeness(prints[i], prints[i + 1])))
+                rows.append((items[i][2], n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), prints[i], edited, likeness(prints[i], edited), likeness(prints[i], prints[i + 1])))
             return rows
 
         for batch in batches:
@@ -199,29 +203,61 @@ def compare(docs: DataFrame) -> DataFrame:
         if held:
             yield out(rows_of(held))
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.mapInArrow(each, schema)
+    schema = "doc_id long, n_chars long, sha binary, print binary, edited binary, near_edited double, near_next double"
+    with scratch(docs.sparkSession) as paths:
+        table = kept_from(paths, stored(ordered.mapInArrow(each, schema).withColumn("node", F.xxhash64("print"))))
+        settle(docs)
+        named = kept_from(paths, _grouped(table.select("doc_id", "node", "print")))
+    text = lambda c: F.lower(F.hex(c))
+    return table.join(named, "node").select("doc_id", "n_chars", text("sha").alias("edited_sha256"), text("print").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "group_id")
 
 
-def near(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, group_id): documents whose fingerprints are alike, by bit-sampled bands and verification; group_id is the smallest doc_id."""
-    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _longs(raw: str):
+    """The fingerprint as signed 64-bit numbers."""
+    return F.array(*[F.conv(F.hex(F.substring(raw, 8 * i + 1, 8)), 16, -10).cast("long") for i in range(LENGTH // 8)])
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text").to_pylist()), pa.binary())], ["doc_id", "node"])
 
-    table = stored(lean.mapInArrow(prints, "doc_id long, node binary"))
-    nodes = table.select("node").where(F.col("node") != F.lit(bytes(LENGTH))).distinct()
-    bands = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(LENGTH // BAND - 1))).alias("b"))
-    members = bands.select(F.xxhash64("b", F.substring("node", F.col("b") * BAND + 1, F.lit(BAND))).alias("bucket"), "node")
+def _equal_bytes(a, b):
+    """How many bytes of two fingerprints are equal: each byte of the difference is folded into its lowest bit."""
+    fold = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    for by in (4, 2, 1):
+        fold = F.transform(fold, lambda x: x.bitwiseOR(F.shiftrightunsigned(x, by)))  # noqa: B023  called at once
+    lowest = F.lit(0x0101010101010101)
+    return F.lit(LENGTH) - F.aggregate(fold, F.lit(0), lambda s, x: s + F.bit_count(x.bitwiseAND(lowest)))
+
+
+def _grouped(table: DataFrame, least: float = LIKE) -> DataFrame:
+    """(node, group_id) from (doc_id, node, print): fingerprints alike, by bit-sampled bands and verification; group_id is the smallest doc_id. Stored."""
+    nodes = stored(table.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("print").alias("print")))
+    bands = nodes.where(F.col("print") != F.lit(bytes(LENGTH))).select("node", "print", F.explode(F.sequence(F.lit(0), F.lit(LENGTH // BAND - 1))).alias("b"))
+    members = shared_members(bands.select(F.xxhash64("b", F.substring("print", F.col("b") * BAND + 1, F.lit(BAND))).alias("bucket"), "node"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, LENGTH) for c in ("u", "v"))
-            yield batch.filter(pa.array((u == v).mean(1) >= least))
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, LENGTH) for c in ("a", "b"))
+            yield batch.select(["u", "v"]).filter(pa.array((u == v).mean(1) >= least))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        a, b = (nodes.select(F.col("node").alias(x), F.col("print").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(alike, "u long, v long")
+
+    features = lambda wanted: nodes.join(wanted, "node").select("node", F.struct(_longs("print").alias("p")).alias("f"))
+    _, roots = linked(members, verify, features, lambda: _equal_bytes("fu.p", "fv.p") >= F.lit(least * LENGTH))
+    in_groups = stored(nodes.select("node", "doc_id").join(roots, "node"))
+    smallest, m = measured(in_groups.groupBy("root").agg(F.min("doc_id").alias("group_id")))
+    named = in_groups.join(few(smallest, m["n"]), "root").select("node", "group_id")
+    return stored(nodes.select("node", "doc_id").join(named, "node", "left").select("node", F.coalesce("group_id", "doc_id").alias("group_id")))
+
+
+def near(docs: DataFrame, least: float = LIKE) -> DataFrame:
+    """(doc_id, group_id): documents whose fingerprints are alike, by bit-sampled bands and verification; group_id is the smallest doc_id."""
+    lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text").to_pylist()), pa.binary())], ["doc_id", "print"])
 
-    _, roots = linked(shared_members(members), lambda pairs: pairs.select("u", "v").mapInArrow(alike, "u binary, v binary"))
-    named = table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    return named.join(smallest, "root").select("doc_id", "group_id")
+    with scratch(docs.sparkSession) as paths:
+        table = kept_from(paths, stored(lean.mapInArrow(prints, "doc_id long, print binary").withColumn("node", F.xxhash64("print"))))
+        named = kept_from(paths, _grouped(table, least))
+    return table.join(named, "node").select("doc_id", "group_id")
