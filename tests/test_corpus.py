@@ -86,3 +86,58 @@ def test_settings_fold_by_priority(spark, tmp_path):
     assert merged["src"] == ("a,b", "user") and merged["preserve_comments"] == ("false", "environment") and merged["target_version"] == ("py312", "user")
     with pytest.raises(ValueError):
         source.output_choice("x.py", True)
+
+
+def rows_of(text, record):
+    return [r for r in records("m", "m.py", text) if r["record"] == record]
+
+
+def roles(text, name):
+    own = {r["ord"]: r["name"] for r in rows_of(text, "item") if r["name"] == name}
+    found = {}
+    for r in rows_of(text, "name"):
+        if r["ord"] in own:
+            found.setdefault(r["kind"], set()).add(r["name"])
+    return found
+
+
+def test_a_class_reads_its_body_at_once_and_its_methods_later():
+    text = "from m import B, D\nclass A:\n    x = B\n    y: B2 = None\n    @deco\n    def f(self, p: Note = D) -> Out:\n        return C\n"
+    found = roles(text, "A")
+    assert found["read"] == {"B", "B2"} and found["eventual_read"] == {"deco", "Note", "D", "Out", "C"}
+
+
+def test_locals_are_not_global_reads():
+    text = (
+        "def f(a):\n    import os.path as p, sys\n    try:\n        pass\n    except ValueError as e:\n        print(e, p, sys)\n    def g():\n        inner = G\n        return inner\n"
+        "    match a:\n        case [h, *rest] if h:\n            k = lambda q: q + Z\n    inner\n    return g, rest, [c for c in a]\n"
+    )
+    assert roles(text, "f")["eventual_read"] == {"ValueError", "print", "G", "Z", "inner"}
+    own = {r["name"] for r in rows_of(text, "local") if r["kind"] == "f"}
+    assert own == {"a", "p", "sys", "e", "g", "h", "rest", "k", "c"}
+    text = "def f():\n    global n\n    def g():\n        global n\n        n = 2\n    return n\n"
+    assert roles(text, "f") == {"decl": {"f"}, "defined": {"f"}, "eventual_read": {"n"}, "eventual_write": {"n"}}
+
+
+def test_usages_stand_once_in_their_scope():
+    text = "if a:\n    for i in b:\n        z = 1\ndef f(p):\n    del p\n    global w\n"
+    found = sorted((r["kind"], r["name"], r["target"]) for r in rows_of(text, "usage"))
+    assert found == [("delete", "p", "module.f"), ("global", "w", "module.f"), ("read", "a", "module"), ("read", "b", "module"), ("write", "i", "module"), ("write", "z", "module")]
+
+
+def test_used_symbols_leave_types_out():
+    text = "def f():\n    x: Hint = one\n    y = cast(Shape, two)\n    z = typing.cast(Other, three)\n    w = List[Item]\n    v = typing.Mapping[Key, int]\n    return data[key]\n"
+    assert {r["name"] for r in rows_of(text, "used")} == {"x", "one", "cast", "two", "typing", "three", "y", "z", "w", "List", "v", "data", "key"}
+
+
+def test_imports_with_effects_do_not_move():
+    text = "def f():\n    import os\n    import logging\n    import _thread\n    import json\n    import os.path\n"
+    assert {r["name"]: r["flag"] for r in rows_of(text, "import")} == {"os": False, "logging": False, "_thread": False, "json": True, "os.path": True}
+
+
+def test_bundle_of_an_entry_with_future_imports(spark, tmp_path):
+    files = {"main.py": '"""Doc."""\nfrom __future__ import annotations\nfrom low import f\n\ndef g(x: Later):\n    return f()\n\nprint(g(1))\n', "low.py": "from __future__ import annotations\n\ndef f() -> Never:\n    return 5\n"}
+    bundle = Corpus(spark.createDataFrame(sorted(files.items()), "path string, source string"), "main").bundle()
+    (tmp_path / "bundle.py").write_text(source.bundle_text(bundle))
+    run = subprocess.run([sys.executable, "bundle.py"], capture_output=True, text=True, cwd=tmp_path, timeout=60)
+    assert run.returncode == 0 and run.stdout == "5\n", run.stderr

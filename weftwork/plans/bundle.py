@@ -131,7 +131,10 @@ class Corpus:
         rows = order.join(self.files.select(F.col("module").alias("node"), "source", "kind"), "node")
         parts = rows.select(F.lit(self.entry).alias("entry"), (F.col("node") == self.entry).cast("int").alias("last"), "layer", "group", F.col("rank").alias("rank"), F.to_json(F.struct("node", "source", "kind")).alias("block"))
         parts = parts.mapInArrow(_blocks, "entry string, last int, layer int, group string, hops int, block string")
-        return aggregates.assembled(parts, "entry", ["last", "layer", "group", "hops"], "block").withColumn("text", F.concat(F.lit(LOADER), F.lit("\n"), "text", F.lit("\n")))
+        joined = aggregates.assembled(parts, "entry", ["last", "layer", "group", "hops"], "block")
+        future = self.parsed.where((F.col("record") == "future") & (F.col("module") == self.entry)).agg(F.array_sort(F.collect_set("name")).alias("future"))  # a handful of names
+        head = F.when(F.size("future") > 0, F.concat(F.lit("from __future__ import "), F.array_join("future", ", "), F.lit("\n"))).otherwise(F.lit(""))
+        return joined.join(F.broadcast(future)).withColumn("text", F.concat(head, F.lit(LOADER), F.lit("\n"), "text", F.lit("\n"))).drop("future")
 
 
 LOADER = '''import sys as _sys, importlib.abc as _abc, importlib.util as _util
@@ -159,7 +162,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             own = json.loads(row["block"])
             if row["last"]:
-                text = ast.unparse(ast.parse(own["source"]))
+                tree = ast.parse(own["source"])  # its __future__ imports stand at the head of the bundle
+                tree.body = [s for s in tree.body if not (isinstance(s, ast.ImportFrom) and s.module == "__future__" and not s.level)]
+                text = ast.unparse(tree)
             else:
                 text = f"_modules[{own['node']!r}] = ({own['source']!r}, {own['kind'] == 'PackageInit'!r})"
             out.append({"entry": row["entry"], "last": row["last"], "layer": row["layer"], "group": row["group"], "hops": row["rank"]["hops"], "block": text})

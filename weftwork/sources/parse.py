@@ -18,8 +18,16 @@ RECORD = "module string, path string, record string, ord int, kind string, name
 _FIELDS = ["module", "path", "record", "ord", "kind", "name", "target", "level", "flag", "names", "scope", "contexts"]
 _PAIRS = pa.list_(pa.struct([("name", pa.string()), ("alias", pa.string())]))
 _SCHEMA = pa.schema([(f, pa.int32() if f in ("ord", "level") else pa.bool_() if f == "flag" else _PAIRS if f == "names" else pa.list_(pa.string()) if f in ("scope", "contexts") else pa.string()) for f in _FIELDS])
-#: Modules whose import alone does something that must not move.
-IMPORT_EFFECTS = ("antigravity", "this", "__hello__", "__phello__", "site", "sitecustomize", "usercustomize", "readline", "rlcompleter", "turtle", "tkinter", "webbrowser", "platform", "locale")
+#: Modules whose import alone does something that must not move; so does any name that begins with an underscore.
+IMPORT_EFFECTS = (
+    "antigravity", "this", "__hello__", "__phello__", "site", "sitecustomize", "usercustomize", "readline", "rlcompleter", "turtle", "tkinter", "webbrowser",
+    "platform", "locale", "os", "sys", "logging", "warnings", "encodings", "pygame", "matplotlib",
+)
+#: Names whose subscripts are type hints and not read at run time.
+TYPE_HINTS = (
+    "List", "Dict", "Set", "Tuple", "list", "dict", "set", "tuple", "Optional", "Union", "Callable", "Type", "Any", "TypeVar", "Generic", "Literal", "Final",
+    "ClassVar", "Annotated", "Self",
+)
 _BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.TryStar, ast.Match)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -119,6 +127,106 @@ def future_imports(tree: ast.Module) -> list[str]:
     return found
 
 
+_SCOPES = (*_DEFS, ast.ClassDef, ast.Lambda)
+
+
+def own_nodes(body: list[ast.AST]) -> Iterator[ast.AST]:
+    """All nodes of a scope in order of their place: of inner definitions themselves and what they evaluate at once, not their bodies."""
+    for node in body:
+        yield node
+        if isinstance(node, _SCOPES):
+            inner = [x for field, value in ast.iter_fields(node) if field != "body" for x in (value if isinstance(value, list) else [value])]
+            yield from own_nodes([x for x in inner if isinstance(x, ast.AST)])
+        else:
+            yield from own_nodes(list(ast.iter_child_nodes(node)))
+
+
+def _body(scope: ast.AST) -> list[ast.AST]:
+    return scope.body if isinstance(scope.body, list) else [scope.body]
+
+
+def _declared(scope: ast.AST) -> set[str]:
+    return {n for x in own_nodes(_body(scope)) if isinstance(x, ast.Global) for n in x.names}
+
+
+def local_names(scope: ast.AST) -> set[str]:
+    """Names that a function, class or lambda binds itself: parameters, targets, imports, inner definitions, handlers' and patterns' names; not its globals."""
+    found = {p.arg for p in ast.walk(scope.args) if isinstance(p, ast.arg)} if hasattr(scope, "args") else set()
+    for x in own_nodes(_body(scope)):
+        match x:
+            case ast.Name(ctx=ast.Store()):
+                found.add(x.id)
+            case ast.Import() | ast.ImportFrom():
+                found |= {a.asname or a.name.split(".")[0] for a in x.names if a.name != "*"}
+            case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
+                found.add(x.name)
+            case ast.ExceptHandler(name=str()) | ast.MatchAs(name=str()) | ast.MatchStar(name=str()):
+                found.add(x.name)
+            case ast.MatchMapping(rest=str()):
+                found.add(x.rest)
+            case ast.Nonlocal():
+                found |= set(x.names)
+    return found - _declared(scope)
+
+
+def free_reads(scope: ast.AST) -> list[str]:
+    """Names that a scope's body reads and neither it nor the inner scope that reads them binds, in order."""
+    own, out = local_names(scope), []
+    for x in own_nodes(_body(scope)):
+        if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load):
+            out.append(x.id)
+        elif isinstance(x, _SCOPES):
+            out += free_reads(x)
+    return [n for n in out if n not in own]
+
+
+def global_writes(scope: ast.AST) -> set[str]:
+    """Globals that a scope or an inner one declares and binds or deletes."""
+    declared, out = _declared(scope), set()
+    for x in own_nodes(_body(scope)):
+        if isinstance(x, ast.Name) and isinstance(x.ctx, (ast.Store, ast.Del)) and x.id in declared:
+            out.add(x.id)
+        elif isinstance(x, _SCOPES):
+            out |= global_writes(x)
+    return out
+
+
+def _typing(node: ast.expr) -> bool:
+    """Whether an attribute chain's base is typing, typing_extensions or collections.abc."""
+    name = dotted(node) or ""
+    return name.split(".")[0] in ("typing", "typing_extensions") or name == "collections.abc"
+
+
+def used_symbols(body: list[ast.AST]) -> list[str]:
+    """Names that a body uses at run time, in order: annotations, type aliases and parameters, subscripts of type hints and the type of a cast aside."""
+    out: list[str] = []
+
+    def visit(node: ast.AST) -> None:
+        match node:
+            case ast.TypeAlias():
+                return
+            case ast.Name():
+                out.append(node.id)
+                return
+            case ast.Subscript(value=ast.Name(id=name)) if name in TYPE_HINTS:
+                return visit(node.value)
+            case ast.Subscript(value=ast.Attribute(attr=attr, value=base)) if attr in TYPE_HINTS or _typing(base):
+                return visit(node.value)
+            case ast.Call(func=ast.Name(id="cast")) | ast.Call(func=ast.Attribute(attr="cast")) if isinstance(node.func, ast.Name) or _typing(node.func.value):
+                for x in (node.func, *node.args[1:], *(k.value for k in node.keywords)):
+                    visit(x)
+                return
+        for field, value in ast.iter_fields(node):
+            if field not in ("annotation", "returns", "type_params"):
+                for x in value if isinstance(value, list) else [value]:
+                    if isinstance(x, ast.AST):
+                        visit(x)
+
+    for s in body:
+        visit(s)
+    return list(dict.fromkeys(out))
+
+
 class Reader:
     """Collects the records of one module."""
 
@@ -133,6 +241,7 @@ class Reader:
         self.discover(tree.body, [], [])
         self.block(tree.body, None)
         self.symbols(tree.body, "module")
+        self.usages(tree.body, "module")
         self.exports(tree)
         self.globals(tree)
         for n, node in enumerate(ast.walk(tree)):
@@ -190,7 +299,7 @@ class Reader:
 
     def imported(self, kind: str, name: str, names: list, level: int, scope: list[str], contexts: list[str], package: str | None = None) -> None:
         checking = "TypeChecking" in contexts
-        movable = not any(c in ("ClassBody", "ClassInit") for c in contexts) and bool(contexts) and name.split(".")[0] not in IMPORT_EFFECTS
+        movable = not any(c in ("ClassBody", "ClassInit") for c in contexts) and bool(contexts) and name not in IMPORT_EFFECTS and not name.startswith("_")
         self.emit("import", ord=self.imports, kind=kind, name=name, target=package, level=level, flag=movable, names=[{"name": a, "alias": b} for a, b in names], scope=scope, contexts=["TypeChecking"] * checking + [c for c in contexts if c != "TypeChecking"] or ["ModuleLevel"])
         self.imports += 1
 
@@ -235,9 +344,13 @@ class Reader:
             case ast.ClassDef():
                 now = [*s.bases, *[k.value for k in s.keywords], *s.decorator_list]
                 later: list[str] = []
-                for m in s.body:
-                    later += self.body_names(m)[0] if isinstance(m, _DEFS) else reads(m)
-                    now += self.signature(m) if isinstance(m, _DEFS) else []
+                for m in s.body:  # statements of the body run with the definition; methods, with all that belongs to them, do not order it
+                    if isinstance(m, _DEFS):
+                        later += [*reads(*self.signature(m)), *self.body_names(m)[0]]
+                    elif isinstance(m, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
+                        now += [x for x in (getattr(m, "annotation", None), m.value) if x is not None]
+                    elif not isinstance(m, ast.ClassDef):
+                        now.append(m)
                 self.item("ClassDef", scope, s.name, roles={"decl": [s.name], "defined": [s.name], "read": reads(*now), "eventual_read": later}, deps=[(s.name, x) for x in reads(*s.bases, *[k.value for k in s.keywords])], attrs=attributes(*now, *s.body))
                 self.scoped_imports(s.body, s.name)
             case ast.Assign():
@@ -278,13 +391,11 @@ class Reader:
 
     def body_names(self, f: ast.FunctionDef) -> tuple[list[str], list[str]]:
         """Names that a body reads once it runs (its locals and parameters aside), and globals that it writes."""
-        declared = {n for x in ast.walk(f) if isinstance(x, ast.Global) for n in x.names}
-        bound = {x.id for s in f.body for x in ast.walk(s) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)} - declared
-        bound |= {p.arg for p in ast.walk(f.args) if isinstance(p, ast.arg)}
-        for i, name in enumerate(sorted(bound)):
+        for i, name in enumerate(sorted(local_names(f))):
             self.emit("local", ord=i, kind=f.name, name=name)
-        writes = sorted({x.id for s in f.body for x in ast.walk(s) if isinstance(x, ast.Name) and isinstance(x.ctx, (ast.Store, ast.Del))} & declared)
-        return [r for r in reads(*f.body) if r not in bound], writes
+        for i, name in enumerate(used_symbols(f.body)):
+            self.emit("used", ord=i, kind=f.name, name=name)
+        return list(dict.fromkeys(free_reads(f))), sorted(global_writes(f))
 
     def scoped_imports(self, body: list[ast.stmt], scope: str) -> None:
         for s in body:
@@ -316,12 +427,19 @@ class Reader:
             if isinstance(s, _BLOCKS):
                 for part in _bodies(s):
                     self.symbols(part, scope)
-            for x in ast.walk(s) if scope == "module" else ():
+
+    def usages(self, body: list[ast.AST], scope: str) -> None:
+        """Each place of a name once, with the scope in which it stands."""
+        for s in body:
+            for x in own_nodes([s]):
                 if isinstance(x, ast.Name):
-                    self.emit("usage", ord=x.lineno, kind={"Load": "read", "Store": "write", "Del": "delete"}[type(x.ctx).__name__], name=x.id)
+                    self.emit("usage", ord=x.lineno, kind={"Load": "read", "Store": "write", "Del": "delete"}[type(x.ctx).__name__], name=x.id, target=scope)
                 elif isinstance(x, (ast.Global, ast.Nonlocal)):
                     for n in x.names:
-                        self.emit("usage", ord=x.lineno, kind=type(x).__name__.lower(), name=n)
+                        self.emit("usage", ord=x.lineno, kind=type(x).__name__.lower(), name=n, target=scope)
+                elif isinstance(x, _SCOPES):
+                    inner = x.body if isinstance(x.body, list) else [x.body]
+                    self.usages(inner, f"{scope}.{getattr(x, 'name', '<lambda>')}")
 
     def exports(self, tree: ast.Module) -> None:
         """The last literal __all__; anything that changes it in place makes it dynamic."""
@@ -403,3 +521,16 @@ def item_names(parsed: DataFrame) -> DataFrame:
 
 def bindings(parsed: DataFrame) -> DataFrame:
     return table(parsed, "binding", item_ord="ord", kind="kind", local="name", target="target", level="level", names="names").withColumn("original", F.col("names")[0]["name"]).drop("names")
+
+
+def usages(parsed: DataFrame) -> DataFrame:
+    return table(parsed, "usage", line="ord", usage="kind", name="name", scope="target")
+
+
+def used(parsed: DataFrame) -> DataFrame:
+    """Names that each function or method uses at run time."""
+    return table(parsed, "used", function="kind", name="name")
+
+
+def locals_of(parsed: DataFrame) -> DataFrame:
+    return table(parsed, "local", function="kind", name="name")
