@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from weftwork.operators import graph
 
 
-@pytest.fixture(params=["local", "distributed"])
+@pytest.fixture(params=["one block", "many blocks"])
 def mode(request, monkeypatch):
-    if request.param == "distributed":
-        monkeypatch.setattr(graph, "MOST_LOCAL", -1)
+    if request.param == "many blocks":
+        monkeypatch.setattr(graph, "EDGES_A_BLOCK", 3)
     return request.param
 
 
@@ -41,6 +41,10 @@ def test_components_equal_brute_force(spark, mode):
     pairs = [(rng.randrange(12), rng.randrange(12)) for _ in range(16)]
     got = {r.node: r.scc for r in graph.scc(edges_of(spark, pairs)).collect()}
     assert got == brute_scc(pairs)
+    # Several components that the first cuts part, on names instead of numbers.
+    rings = [(f"n{k:02}{i}", f"n{k:02}{(i + 1) % 4}") for k in range(6) for i in range(4)] + [(f"n{k:02}1", f"n{k + 1:02}2") for k in range(5)]
+    got = {r.node: r.scc for r in graph.scc(spark.createDataFrame(rings, "src string, dst string")).collect()}
+    assert got == brute_scc(rings) and len(set(got.values())) == 6
 
 
 def test_reach_and_layers(spark, mode):

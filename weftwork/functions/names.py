@@ -134,8 +134,11 @@ def lenient_boolean(value: Column) -> Column:
     return F.when(v.isin("true", "1", "yes", "on"), True).when(v.isin("false", "0", "no", "off"), False)
 
 
+FALLBACK = "__renamed_"
+
+
 def unique_names(wanted: DataFrame, taken: DataFrame, most: int = 999) -> DataFrame:
-    """(base, name): base itself where it is free in taken (name), else the first free of base_1 ... base_most, else null.
+    """(base, name): base itself where it is free in taken (name), else the first free of base_1 ... base_most, else the base after FALLBACK.
 
     One equi-join: a taken name meets its base with its number, and the smallest number that is missing is free.
     """
@@ -146,4 +149,4 @@ def unique_names(wanted: DataFrame, taken: DataFrame, most: int = 999) -> DataFr
     plain = used.select(F.col("name").alias("base"), F.lit(0).alias("n"))
     held = bases.join(numbered.unionByName(plain), "base", "left").groupBy("base").agg(F.array_sort(F.collect_set("n")).alias("ns"))
     free = F.array_min(F.array_except(F.sequence(F.lit(0), F.least(F.size("ns"), F.lit(most))), F.col("ns")))
-    return held.select("base", F.when(free == 0, F.col("base")).when(free.isNotNull(), F.concat("base", F.lit("_"), free.cast("string"))).alias("name"))
+    return held.select("base", F.when(free == 0, F.col("base")).when(free.isNotNull(), F.concat("base", F.lit("_"), free.cast("string"))).otherwise(F.concat(F.lit(FALLBACK), "base")).alias("name"))

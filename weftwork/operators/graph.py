@@ -1,25 +1,27 @@
 """Iterative graph operators over edge tables (src, dst).
 
-Every loop keeps one shape: join a small frontier with the edges, drop what is known, store, stop when
-nothing is new. Each round's result is written to the shared checkpoint folder, so lineage does not grow and a
-lost executor costs no round. Nothing but counts comes to the driver. A graph of at most MOST_LOCAL edges, which
-is counted first, is walked by one task instead, for a round costs more than such a walk.
+A graph is dealt into blocks of about EDGES_A_BLOCK edges by a hash of src. In a round each block's task follows its own
+edges as far as they lead inside the block, and sends what leaves it to other blocks; so a round costs one job, and
+there are as many rounds as a path changes blocks, not hops. A graph of one block takes one round by the same way.
+What a round leaves is written to the shared checkpoint folder, so lineage does not grow and a lost executor costs one task.
+Messages to one node are combined before they are shuffled. Nothing but counts comes to the driver.
+
+The edges that leave one node are held by one task, 100 bytes each; what arrives at a node may be any number.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable, Iterable
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.operators.storage import stored
+from weftwork.operators.storage import dropped, measured, stored
 
-#: Edges whose two ids may be broadcast in each round; more are joined by a shuffle.
+#: Edges whose two ids may be broadcast in each round of a closure; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
-MOST_LOCAL = 500_000
+EDGES_A_BLOCK = 250_000
 
 
 def module_edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
@@ -36,127 +38,74 @@ def module_edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def _edges(edges: DataFrame) -> DataFrame:
-    own = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    return F.broadcast(own) if own.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else own
-
-
-def _small(edges: DataFrame) -> bool:
-    return edges.limit(MOST_LOCAL + 1).count() <= MOST_LOCAL
-
-
-def _walked(edges: DataFrame, walk: Callable[[list, list], Iterable[tuple]], schema: str, also: DataFrame | None = None) -> DataFrame:
-    """walk(edges, nodes) in one task; also: nodes (node) that are handed in with the edges."""
-    rows = edges.select("src", "dst")
-    if also is not None:
-        rows = rows.unionByName(also.select(F.col("node").alias("src"), F.lit(None).cast(edges.schema["dst"].dataType).alias("dst")))
-    fields = [f.split() for f in schema.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string()}
-
-    def alone(batches):
-        pairs, nodes = [], []
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b is None:
-                    nodes.append(a)
-                else:
-                    pairs.append((a, b))
-        columns = list(zip(*walk(pairs, nodes), strict=True)) or [[]] * len(fields)
-        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
-
-    return stored(rows.coalesce(1).mapInArrow(alone, schema))
-
-
-def _walk_reach(pairs: list, start: list) -> Iterable[tuple]:
-    to = defaultdict(list)
-    for a, b in pairs:
-        to[a].append(b)
-    hops, frontier = dict.fromkeys(start, 0), list(dict.fromkeys(start))
-    while frontier:
-        fresh = []
-        for a in frontier:
-            for b in to[a]:
-                if b not in hops:
-                    hops[b] = hops[a] + 1
-                    fresh.append(b)
-        frontier = fresh
-    return hops.items()
-
-
-def _walk_layers(pairs: list, nodes: list) -> Iterable[tuple]:
-    to, missing = defaultdict(list), dict.fromkeys(nodes, 0)
-    for a, b in pairs:
-        to[a].append(b)
-        missing.setdefault(a, 0)
-        missing[b] = missing.get(b, 0) + 1
-    layer = {n: 0 for n, m in missing.items() if not m}
-    ready = list(layer)
-    for a in ready:
-        for b in to[a]:
-            missing[b] -= 1
-            if not missing[b]:
-                ready.append(b)
-        for b in to[a]:
-            layer[b] = max(layer.get(b, 0), layer[a] + 1)
-    return [(n, layer[n]) for n in ready]
-
-
-def _walk_components(pairs: list, _: list) -> Iterable[tuple]:
-    """Two depth-first walks: along the edges for an order of ends, then backwards in its reverse."""
-    to, back = defaultdict(list), defaultdict(list)
-    for a, b in pairs:
-        to[a].append(b)
-        back[b].append(a)
-    ends, seen = [], set()
-    for root in list(to):
-        if root in seen:
-            continue
-        seen.add(root)
-        stack = [(root, iter(to[root]))]
-        while stack:
-            a, rest = stack[-1]
-            for b in rest:
-                if b not in seen:
-                    seen.add(b)
-                    stack.append((b, iter(to.get(b, ()))))
-                    break
-            else:
-                ends.append(a)
-                stack.pop()
-    done: set = set()
-    for root in reversed(ends):
-        if root in done:
-            continue
-        done.add(root)
-        members = [root]
-        for a in members:
-            for b in back.get(a, ()):
-                if b not in done:
-                    done.add(b)
-                    members.append(b)
-        if len(members) > 1:
-            name = min(members)
-            yield from ((m, name) for m in members)
+    own, m = measured(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    return F.broadcast(own) if m["n"] <= MOST_BROADCAST else own
+
+
+def _dealt(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(block, src, dst, there) of distinct edges, there being the block of dst, and the number of blocks."""
+    own, m = measured(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    n = max(1, -(-m["n"] // EDGES_A_BLOCK))
+    return own.select(_block("src", n).alias("block"), "src", "dst", _block("dst", n).alias("there")), n
+
+
+def _block(node: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(n)).cast("int")
+
+
+def _out_edges(edges: pa.Table) -> dict:
+    to: dict = {}
+    home = edges.column("block")[0].as_py() if edges.num_rows else None
+    for a, b, there in zip(*(edges.column(c).to_pylist() for c in ("src", "dst", "there")), strict=True):
+        to.setdefault(a, []).append((b, there == home))
+    return to
+
+
+def _least(dealt: DataFrame, n: int, begin: DataFrame, step: int) -> DataFrame:
+    """(node, value) of all nodes that begin (node, value) leads to: the least value that arrives, which each edge raises by step."""
+    node, value = (begin.schema[c].dataType.simpleString() for c in ("node", "value"))
+
+    def walk(edges: pa.Table, labels: pa.Table) -> pa.Table:
+        to = _out_edges(edges)
+        names, values, fresh = (labels.column(c).to_pylist() for c in ("node", "value", "fresh"))
+        own = dict(zip(names, values, strict=True))
+        heap = [(v, x) for x, v, f in zip(names, values, fresh, strict=True) if f]
+        heapify(heap)
+        sent: dict = {}
+        while heap:
+            v, x = heappop(heap)
+            if v > own[x]:
+                continue
+            v = v + step if step else v
+            for y, here in to.get(x, ()):
+                best = own if here else sent
+                if y not in best or v < best[y]:
+                    best[y] = v
+                    if here:
+                        heappush(heap, (v, y))
+        rows = [*own, *sent], [*own.values(), *sent.values()], [False] * len(own) + [True] * len(sent)
+        kinds = labels.schema.field("node").type, labels.schema.field("value").type, pa.bool_()
+        return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["node", "value", "foreign"])
+
+    rows, last = begin.groupBy("node").agg(F.min("value").alias("value")).withColumn("fresh", F.lit(True)), None
+    while True:
+        labels = rows.withColumn("block", _block("node", n))
+        met = dealt.groupBy("block").cogroup(labels.groupBy("block")).applyInArrow(walk, f"node {node}, value {value}, foreign boolean")
+        out, m = measured(met, sent=F.count_if("foreign"))
+        if last is not None:
+            dropped(last)
+        if not m["sent"]:
+            return out.select("node", "value")
+        old = F.min(F.when(~F.col("foreign"), F.col("value")))
+        rows = out.groupBy("node").agg(F.min("value").alias("value"), old.alias("_old")).select("node", "value", (F.col("_old").isNull() | (F.col("value") < F.col("_old"))).alias("fresh"))
+        last = out
 
 
 def reach(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, hops) of every node that a path from start (node) leads to, start included; hops is the shortest path's length."""
-    kind = edges.schema["src"].dataType.simpleString()
-    own = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    if most is None and kind in ("int", "bigint", "string") and _small(own):
-        return _walked(own, _walk_reach, f"node {kind}, hops int", start.where("node is not null"))
-    step = F.broadcast(own) if own.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else own
-    seen = stored(start.select("node").distinct().withColumn("hops", F.lit(0)))
-    frontier, hops = seen, 0
-    while most is None or hops < most:
-        hops += 1
-        met = frontier.select(F.col("node").alias("src")).join(step, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = stored(met.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if hops % 16 == 0:
-            seen = stored(seen)
-    return seen
+    """(node, hops) of every node that a path from start (node) leads to, start included; hops is the shortest path's length, `most` at most."""
+    dealt, n = _dealt(edges)
+    found = _least(dealt, n, start.where("node is not null").select("node", F.lit(0).alias("value")), 1).withColumnRenamed("value", "hops")
+    return found if most is None else found.where(F.col("hops") <= most)
 
 
 def reach_pairs(edges: DataFrame) -> DataFrame:
@@ -165,10 +114,11 @@ def reach_pairs(edges: DataFrame) -> DataFrame:
     Each round joins only the pairs that the last one found with the edges.
     """
     step = _edges(edges)
-    closed = fresh = stored(edges.select("src", "dst").distinct())
-    while not fresh.isEmpty():
+    fresh, m = measured(edges.select("src", "dst").distinct())
+    closed = fresh
+    while m["n"]:
         longer = fresh.select("src", F.col("dst").alias("_m")).join(step.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
-        fresh = stored(longer.join(closed, ["src", "dst"], "left_anti"))
+        fresh, m = measured(longer.join(closed, ["src", "dst"], "left_anti"))
         closed = stored(closed.unionByName(fresh))
     return closed
 
@@ -177,28 +127,44 @@ def layers(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame,
     """(layered, residue): Kahn's layers of a dependency relation src -> dst, sources first.
 
     layered: node, layer, the length of the longest path that ends there; residue: edges among nodes on a cycle or after one. A residue
-    means that there is no topological order.
+    means that there is no topological order. Each edge is followed once, when its source is done.
     """
-    left = stored(edges.select("src", "dst").distinct())
-    rest = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node")))
-    rest = stored((rest if nodes is None else rest.unionByName(nodes.select("node"))).distinct())
+    dealt, n = _dealt(edges)
     kind = edges.schema["src"].dataType.simpleString()
-    if kind in ("int", "bigint", "string") and _small(left):
-        done = _walked(left, _walk_layers, f"node {kind}, layer int", rest)
-        return done, left.join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-    done, layer = None, 0
+    asked = dealt.select(F.col("dst").alias("node"), F.lit(1).cast("long").alias("missing")).unionByName(dealt.select(F.col("src").alias("node"), F.lit(0).cast("long").alias("missing")))
+    if nodes is not None:
+        asked = asked.unionByName(nodes.select("node", F.lit(0).cast("long").alias("missing")))
+
+    def walk(edges: pa.Table, state: pa.Table) -> pa.Table:
+        to = _out_edges(edges)
+        own = {x: [m, layer, done] for x, m, layer, done in zip(*(state.column(c).to_pylist() for c in ("node", "missing", "layer", "done")), strict=True)}
+        ready, sent = [x for x, (m, _, done) in own.items() if not m and not done], {}
+        for x in ready:
+            own[x][2] = True
+            layer = own[x][1] + 1
+            for y, here in to.get(x, ()):
+                row = own[y] if here else sent.setdefault(y, [0, 0, False])
+                row[0] -= 1
+                row[1] = max(row[1], layer)
+                if here and not row[0]:
+                    ready.append(y)
+        columns = list(zip(*((x, *row, foreign) for part, foreign in ((own, False), (sent, True)) for x, row in part.items()), strict=True)) or [[]] * 5
+        kinds = state.schema.field("node").type, pa.int64(), pa.int32(), pa.bool_(), pa.bool_()
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["node", "missing", "layer", "done", "foreign"])
+
+    state, last = asked.groupBy("node").agg(F.sum("missing").alias("missing")).withColumn("layer", F.lit(0)).withColumn("done", F.lit(False)), None
     while True:
-        free = rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-        free = stored(free.withColumn("layer", F.lit(layer)))
-        if free.isEmpty():
+        dealt_state = state.withColumn("block", _block("node", n))
+        met = dealt.groupBy("block").cogroup(dealt_state.groupBy("block")).applyInArrow(walk, f"node {kind}, missing long, layer int, done boolean, foreign boolean")
+        out, m = measured(met, sent=F.count_if("foreign"))
+        if last is not None:
+            dropped(last)
+        if not m["sent"]:
             break
-        done = free if done is None else done.unionByName(free)
-        if layer % 16 == 15:
-            done = stored(done)
-        left = stored(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
-        rest = stored(rest.join(free.select("node"), "node", "left_anti"))
-        layer += 1
-    return (done if done is not None else rest.withColumn("layer", F.lit(0))), left
+        state = out.groupBy("node").agg(F.sum("missing").alias("missing"), F.max("layer").alias("layer"), F.max("done").alias("done"))
+        last = out
+    done = out.where("done").select("node", "layer")
+    return done, dealt.select("src", "dst").join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
 
 
 def has_cycle(edges: DataFrame) -> bool:
@@ -206,62 +172,37 @@ def has_cycle(edges: DataFrame) -> bool:
     return not layers(edges)[1].isEmpty()
 
 
-def _peeled(edges: DataFrame) -> DataFrame:
-    """Edges that may lie on a cycle: nodes without a way in or a way out are taken off until none is left."""
-    left = stored(edges.select("src", "dst").where("src != dst").distinct())
-    n = left.count()
-    while n:
-        ins, outs = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-        left = stored(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
-        now = left.count()
-        if now == n:
-            break
-        n = now
-    return left
-
-
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (node, label) after each node took the smallest label that leads to it along the edges, until none changes."""
-    step = _edges(edges)
-    current = changed = stored(labels)
-    while True:
-        sent = changed.select(F.col("node").alias("src"), "label").join(step, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
-        changed = stored(sent.join(current, "node").where("new < label").select("node", F.col("new").alias("label")))
-        if changed.isEmpty():
-            return current
-        fresh = changed.select("node", F.col("label").alias("_new"))
-        current = stored(current.join(fresh, "node", "left").select("node", F.coalesce("_new", "label").alias("label")))
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def scc(edges: DataFrame) -> DataFrame:
-    """(node, scc): strongly connected components of more than one node; scc is a node of it.
+    """(node, scc): strongly connected components of more than one node; scc is the smallest node of it.
 
-    Forward colouring: every node takes the smallest node that reaches it; the nodes of a colour that reach back to
-    that node are one component. What is found is taken out, and the rest goes another round.
+    What lies before or after all cycles is taken off by layers from both ends. Each other node takes the smallest node that reaches it, and
+    the smallest that it reaches: where both are one node, it is in that node's component. Nodes of a component agree in both, so
+    edges between others are cut, and what is not found yet goes another round: all components that the cuts have parted find their smallest node at once.
     """
-    kind = edges.schema["src"].dataType.simpleString()
-    own = stored(edges.select("src", "dst").where("src != dst").distinct())
-    if kind in ("int", "bigint", "string") and _small(own):
-        return _walked(own, _walk_components, f"node {kind}, scc {kind}")
-    left, found = _peeled(own), None
-    while not left.isEmpty():
-        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
-        colour = _spread(left, nodes.withColumn("label", F.col("node")))
-        c = colour.select(F.col("node").alias("src"), F.col("label").alias("_a")), colour.select(F.col("node").alias("dst"), F.col("label").alias("_b"))
-        within = stored(left.join(c[0], "src").join(c[1], "dst").where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))  # backwards, in one colour
-        back = reach(within, colour.where("node = label").select("node")).select("node")
-        members = stored(colour.join(back, "node", "left_semi"))
-        big = members.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("label")
-        one = members.join(big, "label").select("node", F.col("label").alias("scc"))
-        found = one if found is None else found.unionByName(one)
-        gone = members.select("node")
-        left = _peeled(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    empty = edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
-    if found is None:
-        return empty
-    found = stored(found)
-    names = found.groupBy("scc").agg(F.min("node").alias("name"))
-    return found.join(names, "scc").select("node", F.col("name").alias("scc"))
+    left, found = edges.select("src", "dst").where("src != dst"), []
+    while True:
+        left = _turned(layers(_turned(layers(left)[1]))[1])
+        left, m = measured(left)
+        if not m["n"]:
+            break
+        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct().withColumn("value", F.col("node"))
+        into, out = (_least(*_dealt(e), nodes, 0) for e in (left, _turned(left)))
+        named = stored(into.withColumnRenamed("value", "into").join(out.withColumnRenamed("value", "out"), "node"))
+        found.append(named.where("into = out").select("node", F.col("into").alias("scc")))
+        rest = named.where("into != out")
+        a, b = (rest.select(F.col("node").alias(x), F.col("into").alias(f"_i{x}"), F.col("out").alias(f"_o{x}")) for x in ("src", "dst"))
+        left = left.join(a, "src").join(b, "dst").where("_isrc = _idst and _osrc = _odst").select("src", "dst")
+    if not found:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("scc")).limit(0)
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    big = stored(rows.groupBy("scc").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("scc"))
+    return rows.join(big, "scc").select("node", "scc")
 
 
 def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -272,9 +213,9 @@ def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def load_order(edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(node, layer, group, position): a valid order, cycles included: layers of the condensation, then group, then rank inside it.
+    """(node, layer, group, rank): a valid order, cycles included: layers of the condensation, then group, then rank inside it.
 
-    edges: src depends on dst; ranks: node, rank. Dependencies come first. position is the order among all nodes.
+    edges: src depends on dst; ranks: node, rank. Dependencies come first.
     """
     own = stored(scc(edges))
     depends = condensed(edges, own).select(F.col("dst").alias("src"), F.col("src").alias("dst"))

