@@ -33,7 +33,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.groups(read(spark, sf_dir, "documents"))
+    return minhash.groups(read(spark, sf_dir, "documents")).drop("n_links")  # links depend on the pairs tried, components do not
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,36 @@ QUERIES = {f.__name__: f for f in (
     op6_substring_dedup, op7_best_fit_packing, op8_document_fingerprints, op9_chat_formatting, op10_source_mixing,
 )
 }
-SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op2_exact_top_k": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.id % 50 = 0 AND c.id != q.id AND len(q.v) = len(c.v)),
+ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 5""",
+    "op5_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+ m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+ SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = m.doc_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id""",
+    "op6_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format(text='text')} AS w FROM documents),
+ s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 35 THEN [] ELSE range(1, len(w) - 33) END) AS i, w FROM w),
+ h AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM s),
+ d AS (SELECT doc_id, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+ x AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM d) GROUP BY doc_id),
+ k AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN x ON x.doc_id = w.doc_id),
+ p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, gone FROM k),
+ t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM p WHERE NOT list_contains(gone, p) GROUP BY doc_id)
+ SELECT k.doc_id, len(w) AS n_words, len(gone) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN t ON t.doc_id = k.doc_id""",
+    "op9_chat_formatting": r"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')))
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars FROM m GROUP BY conv_id""",
+}
