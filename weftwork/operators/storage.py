@@ -44,7 +44,11 @@ def measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
 
 
 def settle(df: DataFrame) -> None:
-    """Lets the driver drop what it no longer refers to, so that Spark removes the shuffle files of finished steps."""
+    """Lets the driver drop what it no longer refers to, so that Spark removes the shuffle files of finished steps.
+
+    The driver holds on to the last job it ran, so a small one takes its place first.
+    """
+    df.sparkSession.range(1).repartition(1).count()
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
