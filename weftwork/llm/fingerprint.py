@@ -6,7 +6,7 @@ pointers drift apart and meet again by chance, so texts at a small edit distance
 steps, a small Hamming distance. The fingerprint samples LENGTH steps, by rules that depend on
 the walk's length alone and change little with it, and keeps one byte of the characters at the pointer
 there. Likeness is the share of equal bytes. Near texts come from bit-sampled banding: BAND sampled bytes make
-a band, texts that share a band are verified by their likeness (at 0.8 a pair shares none of the 32 bands with probability 5e-8), and
+a band, texts that share a band are verified by their likeness (at 0.8 a pair shares none of the 24 bands with probability 3e-6), and
 links make groups. Inside a band, what is not linked with its first text is compared on its fingerprint before a pair is made.
 
 The walk is the same for equal beginnings, so an edited text goes on from where the kept part ended.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from weftwork.llm.common import kept_from, measured, scratch, settle, stored
 from weftwork.llm.groups import few, linked, shared_members
 
-LENGTH, BAND, LIKE = 128, 4, 0.8
+LENGTH, BAND, BANDS, LIKE = 128, 4, 24, 0.8
 PERIOD, CLASSES = 4096, 256
 #: Documents of one ordered range, and characters that are walked together.
 BUCKET_DOCUMENTS, PART = 2000, 1 << 21
@@ -207,9 +207,11 @@ def compare(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession) as paths:
         table = kept_from(paths, stored(ordered.mapInArrow(each, schema).withColumn("node", F.xxhash64("print"))))
         settle(docs)
-        named = kept_from(paths, _grouped(table.select("doc_id", "node", "print")))
+        named, m = _grouped(table.select("doc_id", "node", "print"))
+        kept_from(paths, named)
     text = lambda c: F.lower(F.hex(c))
-    return table.join(named, "node").select("doc_id", "n_chars", text("sha").alias("edited_sha256"), text("print").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "group_id")
+    both = table.join(few(named, m["n"]), "node", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
+    return both.select("doc_id", "n_chars", text("sha").alias("edited_sha256"), text("print").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "group_id")
 
 
 def _longs(raw: str):
@@ -226,10 +228,13 @@ def _equal_bytes(a, b):
     return F.lit(LENGTH) - F.aggregate(fold, F.lit(0), lambda s, x: s + F.bit_count(x.bitwiseAND(lowest)))
 
 
-def _grouped(table: DataFrame, least: float = LIKE) -> DataFrame:
-    """(node, group_id) from (doc_id, node, print): fingerprints alike, by bit-sampled bands and verification; group_id is the smallest doc_id. Stored."""
+def _grouped(table: DataFrame, least: float = LIKE) -> tuple[DataFrame, dict]:
+    """(node, group_id) from (doc_id, node, print): fingerprints alike, by bit-sampled bands and verification; group_id is the smallest doc_id.
+
+    Only nodes of two documents or more; stored, with the number of rows.
+    """
     nodes = stored(table.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("print").alias("print")))
-    bands = nodes.where(F.col("print") != F.lit(bytes(LENGTH))).select("node", "print", F.explode(F.sequence(F.lit(0), F.lit(LENGTH // BAND - 1))).alias("b"))
+    bands = nodes.where(F.col("print") != F.lit(bytes(LENGTH))).select("node", "print", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))
     members = shared_members(bands.select(F.xxhash64("b", F.substring("print", F.col("b") * BAND + 1, F.lit(BAND))).alias("bucket"), "node"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +251,9 @@ def _grouped(table: DataFrame, least: float = LIKE) -> DataFrame:
     in_groups = stored(nodes.select("node", "doc_id").join(roots, "node"))
     smallest, m = measured(in_groups.groupBy("root").agg(F.min("doc_id").alias("group_id")))
     named = in_groups.join(few(smallest, m["n"]), "root").select("node", "group_id")
-    return stored(nodes.select("node", "doc_id").join(named, "node", "left").select("node", F.coalesce("group_id", "doc_id").alias("group_id")))
+    copied = table.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.lit(True).alias("copied"))
+    own = nodes.select("node", "doc_id").join(named, "node", "left").join(copied, "node", "left")
+    return measured(own.where("group_id is not null or copied").select("node", F.coalesce("group_id", "doc_id").alias("group_id")))
 
 
 def near(docs: DataFrame, least: float = LIKE) -> DataFrame:
@@ -259,5 +266,6 @@ def near(docs: DataFrame, least: float = LIKE) -> DataFrame:
 
     with scratch(docs.sparkSession) as paths:
         table = kept_from(paths, stored(lean.mapInArrow(prints, "doc_id long, print binary").withColumn("node", F.xxhash64("print"))))
-        named = kept_from(paths, _grouped(table, least))
-    return table.join(named, "node").select("doc_id", "group_id")
+        named, m = _grouped(table, least)
+        kept_from(paths, named)
+    return table.join(few(named, m["n"]), "node", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from weftwork.llm.common import dropped, measured, stored
 
-#: Rows of two ids at most (under 32 MB) that may be broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Rows of two ids at most (under 16 MB) that may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def few(df: DataFrame, n: int) -> DataFrame:
@@ -50,9 +50,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def shared_members(members: DataFrame) -> DataFrame:
     """(bucket, node, pivot) of the buckets that hold more than one node; pivot is a bucket's smallest. members: (bucket, node), distinct."""
-    counted = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    shared, m = measured(counted.where("n > 1").select("bucket", "pivot"))
-    return stored(members.join(few(shared, m["n"]), "bucket").select("bucket", "node", "pivot"))
+    counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # most buckets hold one node: only bucket and count are shuffled
+    shared, m = measured(counted.where("n > 1").select("bucket"))
+    rows = stored(members.join(few(shared, m["n"]), "bucket"))
+    pivots = stored(rows.groupBy("bucket").agg(F.min("node").alias("pivot")))
+    out = stored(rows.join(few(pivots, m["n"]), "bucket").select("bucket", "node", "pivot"))
+    dropped(shared, rows, pivots)
+    return out
 
 
 def linked(
