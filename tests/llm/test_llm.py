@@ -530,3 +530,25 @@ def test_pipeline_keeps_columns_and_documents(spark, sf, docs):
         assert some.columns == docs.columns, name
     assert some.count() > 30
     assert {r.n_chars - len(r.text) for r in some.collect()} == {0}
+
+
+def test_pipeline_stages_bear_odd_rows(spark, sf, odd):
+    """Nulls, empty, long and repeated texts, clashing columns and an empty table, in each stage by itself."""
+    import corpus_pipeline
+
+    all_rows = sorted(map(repr, odd.select("doc_id", "text").collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, odd, sf), stage(spark, odd.limit(0), sf)
+        assert none.count() == 0, name
+        if name == "best_fit_packing":
+            assert sum(r.piece == 0 for r in out.collect()) == len(ODD)
+            continue
+        assert out.columns == odd.columns == none.columns, name
+        rows = [(r.doc_id, r.text) for r in out.collect()]
+        if name == "line_dedup":
+            assert sorted(map(repr, out.select("doc_id", "text").collect())) == all_rows
+        if name == "minhash_near_dedup":  # 5 is a copy of 4; what has no words stays
+            assert {d for d, _ in rows} == {1, 2, 3, 4, 6, None}
+        if name == "source_mixing":
+            assert {d for d, _ in rows} <= {d for d, *_ in ODD} and {3, 4, 5} <= {d for d, _ in rows}
+            assert {t for d, t in rows if d == 1} <= {None} and all(t for d, t in rows if d == 3)
