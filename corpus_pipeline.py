@@ -39,7 +39,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them, in the order of shards and of places in them. A null source is a source; null texts have no words and are not taken."""
+    """Documents as often as their source's target takes them, in the order of shards and of places in them. A null source is a source.
+
+    Null and empty texts have no words; they come along as often as their source is taken whole.
+    """
     return _counted(mixing.mix(docs, places=False, ordered=True))
 
 
