@@ -37,7 +37,7 @@ from weftwork.llm.textvec import LOWERED, mixed, runs, words
 WORDS, HASHES, ROWS = 4, 512, 8
 SIGNED, LEAST_ALIKE = 256, 0.68
 SIMILAR = 80
-PART = 1 << 21
+PART = 1 << 19
 #: Words of 64 bits of the sketch of a set of at most SKETCHED shingles; both double together for larger sets.
 SKETCH, SKETCHED = 8, 128
 _random = np.random.Generator(np.random.PCG64(77))
