@@ -30,7 +30,7 @@ BUCKETS = 1 << 15
 SIZES = (3, 4, 5)
 SAMPLE = 1500
 THRESHOLD = 0.3
-PART = 1 << 20
+PART = 1 << 19
 _random = np.random.Generator(np.random.PCG64(11))
 _TABLE = _random.integers(0, 2**63, (max(SIZES), 256), dtype=np.uint64) | np.uint64(1)
 _WORD = [_random.integers(0, 2**63, dtype=np.uint64) | np.uint64(1) for _ in range(2)]

@@ -39,7 +39,7 @@ from weftwork.llm.groups import few
 from weftwork.llm.textvec import inside, runs, words
 
 WINDOW, SEED = 35, 8
-PART = 1 << 20
+PART = 1 << 19
 U = np.uint64
 
 
