@@ -73,6 +73,30 @@ def absolute_name(own: Column, is_package: Column, level: Column, rest: Column)
     return F.when(level == 0, F.nullif(F.array_join(rest, "."), F.lit(""))).when(kept >= 0, full)
 
 
+def registry_name(own: Column, is_package: Column, level: Column, rest: Column) -> Column:
+    """As absolute_name where only names are known: a null is_package (a name the registry lacks) is a package if it has one part. Levels past the root stop there."""
+    parts = F.split(own, r"\.")
+    package = F.coalesce(is_package, F.size(parts) == 1)
+    up = F.when(package | (F.size(parts) == 1), 0).otherwise(1) + F.greatest(level - 1, F.lit(0))
+    return F.array_join(F.concat(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0))), rest), ".")
+
+
+def stripped_name(own: Column, level: Column, rest: Column) -> Column:
+    """The name that a relative import has if packages are not told from modules: `level` parts go, whatever the module is."""
+    parts = F.split(own, r"\.")
+    return F.array_join(F.concat(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level, F.lit(0))), rest), ".")
+
+
+def canonical_path(path: Column) -> Column:
+    """a//b/./c/../d/ is a/b/d; what is left of nothing is `.`, or `/` if the path is absolute. Links are not followed."""
+    empty = F.array().cast("array<string>")
+    up = lambda done: F.when(F.element_at(F.concat(F.array(F.lit("..")), done), -1) != "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+    above = lambda done: F.when(path.startswith("/"), done).otherwise(F.concat(done, F.array(F.lit(".."))))
+    step = lambda done, p: F.when(p.isin("", "."), done).when(p == "..", F.coalesce(up(done), above(done))).otherwise(F.concat(done, F.array(p)))
+    bare = F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), bare)).otherwise(F.coalesce(F.nullif(bare, F.lit("")), F.when(path.isNotNull(), ".")))
+
+
 def dotted_prefixes(name: Column) -> Column:
     """a.b.c has the proper prefixes a and a.b."""
     parts = F.split(name, r"\.")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftwork.plans import graphs, relational
+from weftwork.plans import graphs, relational, symbols
 
-QUERIES = relational.QUERIES | graphs.QUERIES
-SQL = relational.SQL | graphs.SQL
+QUERIES = relational.QUERIES | symbols.QUERIES | graphs.QUERIES
+SQL = relational.SQL | symbols.SQL | graphs.SQL
 flagship = graphs.flagship
