@@ -26,12 +26,12 @@ class Facts:
 
     modules: module, rank; items: module, item_ord, item_type, name, has_side_effects, containing_scope; roles: module, item_ord, role, name; deps: module, item_ord, symbol, dep;
     attrs: module, item_ord, base, attr; named: module, local, source, original, ord, item_ord (source absolute); stars: module, source, item_ord, ord;
-    aliases: module, local, source (whole modules), ord; listed: module, name (explicit exports).
+    aliases: module, local, source (whole modules), ord; listed: module, name (explicit exports); used: module, name (names that functions use when they run).
     """
 
-    def __init__(self, modules, items, roles, deps, attrs, named, stars, aliases, listed):
+    def __init__(self, modules, items, roles, deps, attrs, named, stars, aliases, listed, used):
         self.modules, self.items, self.roles, self.deps, self.attrs = modules, items, roles, deps, attrs
-        self.named, self.stars, self.aliases, self.listed = named, stars, aliases, listed
+        self.named, self.stars, self.aliases, self.listed, self.used = named, stars, aliases, listed, used
         self.defined = roles.where("role = 'defined'").select("module", "name").distinct()
 
     def definer(self) -> DataFrame:
@@ -160,14 +160,15 @@ def live(facts: Facts, entry: str) -> DataFrame:
     return met.select(parts[0].alias("module"), parts[1].alias("name")).where(~F.col("name").startswith("<")).distinct()
 
 
-def trimmed_imports(facts: Facts, alive: DataFrame, protected: DataFrame) -> DataFrame:
+def trimmed_imports(facts: Facts, alive: DataFrame, protected: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(module, item_ord, local) of imported names that nothing live needs.
 
-    Kept are names that a live definition, an item with side effects or a live assignment reads, that are listed exports or re-exported, and those of
-    protected modules (module). Star imports are always kept.
+    Only imports at module level are trimmed: those of a function go with it. Kept are names that a live definition, an item with side effects or a live assignment reads, that are listed exports or re-exported, those of
+    protected modules (module) and of kept statements (module, item_ord). Star imports are always kept.
     """
     keys = ["module", "item_ord"]
-    imported = facts.roles.where("role = 'imported'").select("module", "item_ord", F.col("name").alias("local"))
+    at_top = facts.items.where("containing_scope is null").select(*keys)
+    imported = facts.roles.where("role = 'imported'").select(*keys, F.col("name").alias("local")).join(at_top, keys, "left_semi")
     active = facts.items.where("has_side_effects and item_type not in ('Import', 'FromImport')").select(*keys)
     live_items = facts.roles.where("role = 'defined'").join(alive, ["module", "name"], "left_semi").select(*keys)
     reads = facts.roles.where("role in ('read', 'eventual_read')").join(active.unionByName(live_items).distinct(), keys, "left_semi")
@@ -175,7 +176,10 @@ def trimmed_imports(facts: Facts, alive: DataFrame, protected: DataFrame) -> Dat
     used = reads.select("module", F.col("name").alias("local")).unionByName(roots)
     used = used.unionByName(facts.listed.select("module", F.col("name").alias("local"))).unionByName(facts.roles.where("role = 'reexported'").select("module", F.col("name").alias("local")))
     used = used.unionByName(alive.select("module", F.col("name").alias("local"))).distinct()
-    return imported.join(used, ["module", "local"], "left_anti").join(protected.select("module").distinct(), "module", "left_anti").select("module", "item_ord", "local")
+    out = imported.join(used, ["module", "local"], "left_anti").join(protected.select("module").distinct(), "module", "left_anti")
+    if kept is not None:
+        out = out.join(kept.select(*keys).distinct(), keys, "left_anti")
+    return out.select("module", "item_ord", "local")
 
 
 def removable_statements(facts: Facts, trimmed: DataFrame) -> DataFrame:
@@ -186,13 +190,18 @@ def removable_statements(facts: Facts, trimmed: DataFrame) -> DataFrame:
 
 
 def unused_imports(facts: Facts, is_init: DataFrame) -> DataFrame:
-    """(module, item_ord, local): never read in its module, without a side effect, not re-exported or listed, no star and not in a package init."""
+    """(module, item_ord, local): never read in its module, without a side effect, not re-exported or listed, no star and not in a package init.
+
+    What a function imports for itself is a local name there, so its uses are those of functions when they run.
+    """
     imported = facts.roles.where("role = 'imported'").select("module", "item_ord", F.col("name").alias("local"))
     pure = facts.items.where("not has_side_effects").select("module", "item_ord")
     read = facts.roles.where("role in ('read', 'eventual_read')").select("module", F.col("name").alias("local"))
+    scoped = facts.items.where("containing_scope is not null").select("module", "item_ord")
+    locally = imported.join(scoped, ["module", "item_ord"], "left_semi").join(facts.used.select("module", F.col("name").alias("local")).distinct(), ["module", "local"], "left_semi")
     roots = facts.attrs.select("module", F.split("base", r"\.")[0].alias("local"))
     kept = read.unionByName(roots).unionByName(facts.roles.where("role = 'reexported'").select("module", F.col("name").alias("local"))).unionByName(facts.listed.select("module", F.col("name").alias("local"))).distinct()
-    return imported.join(pure, ["module", "item_ord"], "left_semi").join(is_init.select("module"), "module", "left_anti").join(kept, ["module", "local"], "left_anti")
+    return imported.join(pure, ["module", "item_ord"], "left_semi").join(is_init.select("module"), "module", "left_anti").join(kept, ["module", "local"], "left_anti").join(locally, ["module", "item_ord", "local"], "left_anti")
 
 
 def live_exports(facts: Facts, alive: DataFrame) -> DataFrame:

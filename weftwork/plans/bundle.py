@@ -12,17 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions import names
-from weftwork.operators import aggregates, cycles, graph, liveness, resolve
+from weftwork.operators import aggregates, cycles, graph, liveness, resolve, symbols
 from weftwork.operators.storage import stored
 from weftwork.sources import parse
 
 
 class Corpus:
-    """The tables of a corpus. files: path, source. Each is built once and stored where it is used often."""
+    """The tables of a corpus. files: path, source; installed: the names of importable packages that are no part of it. Each is built once and stored where it is used often."""
 
-    def __init__(self, files: DataFrame, entry: str):
+    def __init__(self, files: DataFrame, entry: str, installed: DataFrame | None = None):
         spark = files.sparkSession
         self.entry = entry
+        self.installed = spark.createDataFrame([], "name string") if installed is None else installed
         named = files.select("path", names.line_ends(F.col("source")).alias("source"))
         stem = F.coalesce(names.module_name(F.col("path")), F.lit("__main__"))
         self.files = stored(named.select(stem.alias("module"), "path", "source", names.module_kind(F.col("path")).alias("kind")))
@@ -53,8 +54,12 @@ class Corpus:
 
     def classified(self) -> DataFrame:
         own = self.modules.select(F.col("module").alias("name"), (F.col("kind") == "PackageInit").alias("is_package"))
-        none = self.stdlib.limit(0)
-        return resolve.classify_imports(self.imports.select("module", "import_ord", F.col("source").alias("name"), "level"), stdlib=self.stdlib, first_party=own, installed=none)
+        return resolve.classify_imports(self.imports.select("module", "import_ord", F.col("source").alias("name"), "level"), stdlib=self.stdlib, first_party=own, installed=self.installed)
+
+    def missing(self) -> DataFrame:
+        """(module, name, message): first-party imports without a module, each of which is fatal."""
+        scopes = self.imports.select("module", "import_ord", resolve.tolerated(F.coalesce("scope_path", F.array().cast("array<string>"))).alias("tolerated"))
+        return symbols.missing_first_party(self.classified().join(scopes, ["module", "import_ord"]), self.modules.select(F.col("module").alias("name")))
 
     @cached_property
     def _met(self) -> DataFrame:
@@ -84,17 +89,94 @@ class Corpus:
         reads = parse.item_names(self.parsed).where("role = 'read'").select("module", "item_ord", "name")
         return cycles.classify(stored(self.cycle_members()), parse.items(self.parsed), reads, bound.unionByName(whole).distinct())
 
+    def cycle_report(self) -> DataFrame:
+        """(cycle_id, members, n, message): members in order; a message where the cycle cannot be resolved."""
+        ordered = cycles.ordered_members(self.cycle_members())
+        return ordered.join(cycles.report(self.cycle_types(), ordered), "cycle_id", "left")
+
+    def movable(self) -> DataFrame:
+        """(cycle_id, module, import_ord, source): imports of a function-level cycle, at module level or in one function, that may stand in functions."""
+        plain = F.size(F.coalesce("scope_path", F.array().cast("array<string>"))) == 0
+        inside = (F.size("scope_path") == 1) & F.col("scope_path")[0].startswith("Function:")
+        return cycles.movable_imports(self.cycle_types(), self.cycle_members(), self.imports.where(F.col("is_movable") & (plain | inside)).select("module", "import_ord", "source"))
+
+    @cached_property
+    def _facts(self) -> liveness.Facts:
+        return self.facts()
+
+    @cached_property
+    def _live(self) -> DataFrame:
+        return stored(self.live())
+
+    def unused(self) -> DataFrame:
+        """(module, item_ord, local): imported names that their own module never uses."""
+        return liveness.unused_imports(self._facts, self.modules.where("kind = 'PackageInit'"))
+
+    @cached_property
+    def _trimmed(self) -> DataFrame:
+        return stored(self._trim())
+
+    def trimmed(self) -> DataFrame:
+        return self._trimmed
+
+    def _trim(self) -> DataFrame:
+        """(module, item_ord, local): imported names that nothing live uses.
+
+        Members of cycles keep theirs, modules with side effects those of the standard library, and all the imports of modules that have side effects.
+        """
+        members = self.cycle_members().select(F.col("node").alias("module"))
+        busy = self._facts.items.where("has_side_effects").select("module").distinct()
+        active = parse.table(self.parsed, "module", effects="flag").where("effects").select(F.col("module").alias("source"))
+        rows = parse.items(self.parsed).where("item_type in ('Import', 'FromImport') and level = 0")
+        std = rows.select("module", "item_ord", F.split(F.coalesce("from_module", "name"), r"\.")[0].alias("name")).join(self.stdlib, "name", "left_semi")
+        std = std.join(busy, "module", "left_semi").select("module", "item_ord")
+        whole = self._facts.aliases.select("module", F.col("ord").alias("item_ord"), "source")
+        below = self._facts.named.select("module", "item_ord", F.concat_ws(".", F.nullif("source", F.lit("")), "original").alias("source"))
+        needed = whole.unionByName(below).join(active, "source", "left_semi").select("module", "item_ord")
+        return liveness.trimmed_imports(self._facts, self._live, members, std.unionByName(needed))
+
+    def removable(self) -> DataFrame:
+        """(module, item_ord): import statements none of whose names is kept."""
+        return liveness.removable_statements(self._facts, self.trimmed())
+
+    def exports(self) -> DataFrame:
+        """(module, name): listed names that are live."""
+        return liveness.live_exports(self._facts, self._live)
+
+    def list_accesses(self) -> DataFrame:
+        return symbols.list_accesses(self._facts.attrs, self._facts.aliases, self.modules)
+
+    def imported_modules(self) -> DataFrame:
+        """(module, name): the modules that each module imports itself: those it names, and from-imported names that are modules."""
+        known = self.modules.select(F.col("module").alias("name"))
+        named = self.imports.select("module", F.col("source").alias("name"))
+        each = self.imports.where("import_type in ('From', 'Relative')").select("module", "source", F.explode("names").alias("n"))
+        below = each.select("module", F.concat_ws(".", F.nullif("source", F.lit("")), F.col("n.name")).alias("name"))
+        return named.unionByName(below).join(known, "name", "left_semi").select("module", "name").distinct()
+
+    def namespace_importers(self) -> DataFrame:
+        """(module, importer): a module bound whole, by `import` or by a from-import that names it, and who binds it. Pairs, so that no set grows."""
+        known = self.modules.select("module")
+        whole = self._facts.aliases.select(F.col("source").alias("module"), F.col("module").alias("importer"))
+        below = self._facts.submodules().select(F.col("source").alias("module"), F.col("module").alias("importer"))
+        return whole.unionByName(below).join(known, "module", "left_semi").distinct()
+
+    def entry_globals(self) -> DataFrame:
+        """(name) of what the entry defines at its top level, imports aside."""
+        own = parse.table(self.parsed, "symbol", kind="kind", name="name", scope="target")
+        return own.where((F.col("module") == self.entry) & (F.col("scope") == "module") & (F.col("kind") != "Import")).select("name").distinct()
+
     def facts(self) -> liveness.Facts:
         p = self.parsed
         bound = parse.bindings(p)
-        symbols = self._absolute(bound.where("kind = 'symbol'"), "target").select("module", "local", "source", "original", F.col("item_ord").alias("ord"), "item_ord")
+        named = self._absolute(bound.where("kind = 'symbol'"), "target").select("module", "local", "source", "original", F.col("item_ord").alias("ord"), "item_ord")
         stars = self._absolute(bound.where("kind = 'star'"), "target").select("module", "source", "item_ord", F.col("item_ord").alias("ord"))
         aliases = bound.where("kind = 'module'").select("module", "local", F.col("target").alias("source"), F.col("item_ord").alias("ord"))
         listed = p.where("record = 'export' and scope is not null").select("module", F.explode("scope").alias("name"))
         deps = parse.table(p, "dep", item_ord="ord", symbol="name", dep="target")
         attrs = parse.table(p, "attr", item_ord="ord", base="name", attr="target")
         ranked = self.modules.select("module", F.col("module").alias("rank"))
-        return liveness.Facts(ranked, parse.items(p), parse.item_names(p), deps, attrs, symbols, stars, aliases, listed)
+        return liveness.Facts(ranked, parse.items(p), parse.item_names(p), deps, attrs, named, stars, aliases, listed, parse.used(p).select("module", "name"))
 
     def live(self) -> DataFrame:
         return liveness.live(self.facts(), self.entry)

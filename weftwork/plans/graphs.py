@@ -8,7 +8,7 @@ from weftwork.operators import cycles, graph, resolve
 from weftwork.operators.storage import stored
 from weftwork.plans.bundle import Corpus
 from weftwork.plans.relational import table
-from weftwork.sources.sample import sample_files
+from weftwork.sources.sample import more_files, sample_files
 
 
 def chain(spark, sf_dir):
@@ -158,6 +158,56 @@ SQL_corpus_cycles = f"""SELECT cycle_id, CAST(n AS BIGINT) AS n, cycle_type, cyc
  FROM (VALUES ('ring.a', 2, 'ModuleConstants'), ('ring.c', 2, 'FunctionLevel'), ('ring.e', 2, 'ClassLevel'), ('shop', 3, 'FunctionLevel')) AS t(cycle_id, n, cycle_type)"""
 
 
+def corpus_trims(spark, sf_dir):
+    """What liveness leaves of imports and lists: names that go, statements that go whole, listed names that stay."""
+    c = Corpus(sample_files(spark), "main")
+    none = F.lit(None).cast("int")
+    rows = c.trimmed().select(F.lit("trimmed").alias("step"), "module", "item_ord", F.col("local").alias("name"))
+    rows = rows.unionByName(c.removable().select(F.lit("removable").alias("step"), "module", "item_ord", F.lit(None).cast("string").alias("name")))
+    return rows.unionByName(c.exports().select(F.lit("export").alias("step"), "module", none.alias("item_ord"), "name"))
+
+
+SQL_corpus_trims = """SELECT * FROM (VALUES ('trimmed', 'main', 4, 'requests'), ('trimmed', 'shop.report', 3, 'Basket'), ('trimmed', 'shop.stock', 0, 'numpy'), ('removable', 'main', 4, NULL),
+ ('removable', 'shop.report', 3, NULL), ('removable', 'shop.stock', 0, NULL), ('export', 'shop', NULL, 'Basket'), ('export', 'shop', NULL, 'checkout'), ('export', 'shop.prices', NULL, 'TABLE'),
+ ('export', 'shop.prices', NULL, 'price')) AS t(step, module, item_ord, name)"""
+
+
+def corpus_cycle_report(spark, sf_dir):
+    return Corpus(sample_files(spark), "main").cycle_report().withColumn("members", F.array_join("members", ","))
+
+
+SQL_corpus_cycle_report = f"""SELECT cycle_id, members, CAST(n AS BIGINT) AS n, CASE WHEN bad THEN 'unresolvable cycle: ' || replace(members, ',', ' -> ') || '; {cycles.UNRESOLVABLE}' END AS message
+ FROM (VALUES ('ring.a', 'ring.a,ring.b', 2, true), ('ring.c', 'ring.c,ring.d', 2, false), ('ring.e', 'ring.e,ring.f', 2, false), ('shop', 'shop,shop.basket,shop.pay', 3, false)) AS t(cycle_id, members, n, bad)"""
+
+
+def corpus_importers(spark, sf_dir):
+    """Modules that each module imports itself, modules bound whole by whom, and what the entry defines."""
+    c = Corpus(sample_files(spark), "main")
+    rows = c.imported_modules().select(F.lit("imports").alias("fact"), "module", "name")
+    rows = rows.unionByName(c.namespace_importers().select(F.lit("bound by").alias("fact"), "module", F.col("importer").alias("name")))
+    return rows.unionByName(c.entry_globals().select(F.lit("defines").alias("fact"), F.lit("main").alias("module"), "name"))
+
+
+SQL_corpus_importers = """SELECT * FROM (VALUES ('imports', 'main', 'shop'), ('imports', 'main', 'shop.prices'), ('imports', 'main', 'shop.report'), ('imports', 'main', 'shop.stock'),
+ ('imports', 'ring.a', 'ring.b'), ('imports', 'ring.b', 'ring.a'), ('imports', 'ring.c', 'ring'), ('imports', 'ring.c', 'ring.d'), ('imports', 'ring.d', 'ring'), ('imports', 'ring.d', 'ring.c'),
+ ('imports', 'ring.e', 'ring.f'), ('imports', 'ring.f', 'ring.e'), ('imports', 'shop', 'shop.basket'), ('imports', 'shop', 'shop.pay'), ('imports', 'shop', 'shop.prices'),
+ ('imports', 'shop.basket', 'shop.stock'), ('imports', 'shop.pay', 'shop'), ('imports', 'shop.pay', 'shop.basket'), ('imports', 'shop.report', 'shop.basket'), ('imports', 'shop.report', 'shop.formats'),
+ ('bound by', 'ring.c', 'ring.d'), ('bound by', 'ring.d', 'ring.c'), ('bound by', 'shop.basket', 'shop.pay'), ('bound by', 'shop.stock', 'main'), ('defines', 'main', 'RATE'), ('defines', 'main', 'run')) AS t(fact, module, name)"""
+
+
+def corpus_notes(spark, sf_dir):
+    """Of the second corpus: missing modules, unused names, imports that may move, lists read from outside."""
+    c = Corpus(more_files(spark), "main")
+    rows = c.missing().select(F.lit("missing").alias("note"), "module", "name")
+    rows = rows.unionByName(c.unused().select(F.lit("unused").alias("note"), "module", F.col("local").alias("name")))
+    rows = rows.unionByName(c.movable().select(F.lit("movable").alias("note"), "module", F.col("source").alias("name")))
+    return rows.unionByName(c.list_accesses().select(F.lit("reads list").alias("note"), "module", F.col("accessed").alias("name")))
+
+
+SQL_corpus_notes = """SELECT * FROM (VALUES ('missing', 'main', 'tools.lost'), ('unused', 'main', 'json'), ('unused', 'main', 'pi'), ('unused', 'tools', 'hexdigits'), ('movable', 'left.a', 'left.b'),
+ ('movable', 'left.b', 'left.a'), ('reads list', 'main', 'tools')) AS t(note, module, name)"""
+
+
 def corpus_live_symbols(spark, sf_dir):
     return Corpus(sample_files(spark), "main").live()
 

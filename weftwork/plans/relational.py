@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions import names
 from weftwork.operators import aggregates, resolve
+from weftwork.sources import corpus as source
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -226,6 +227,41 @@ SQL_requirements = f"""WITH r AS (SELECT DISTINCT split_part(regexp_replace({_FL
  SELECT string_agg(package, chr(10) ORDER BY package) AS text FROM p"""
 
 
+def installed_packages(spark, sf_dir):
+    """Part names as entries of a site-packages folder: files, packages, private ones, distribution folders, other files."""
+    n = F.replace("p_name", F.lit(" "), F.lit("_"))
+    ways = F.array(F.concat(n, F.lit(".py")), F.concat(n, F.lit("/__init__.py")), F.concat(F.lit("_"), n, F.lit("/x.py")), F.concat(n, F.lit("-1.0.dist-info/METADATA")), F.concat(n, F.lit(".txt")))
+    return source.installed_packages(table(spark, sf_dir, "part").select(F.element_at(ways, (F.col("p_partkey") % 5 + 1).cast("int")).alias("path")))
+
+
+SQL_installed_packages = "SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part WHERE p_partkey % 5 < 2"
+
+
+def distribution_names(spark, sf_dir):
+    """Suppliers as distributions: the parts that they deliver are the roots that their RECORD names, one in four is no module."""
+    root = F.concat(F.lit("r"), F.col("l_partkey").cast("string"))
+    line = F.when(F.col("l_partkey") % 4 == 0, F.concat(root, F.lit(".so,x,1"))).when(F.col("l_partkey") % 4 == 1, F.concat(root, F.lit(".py,x,1"))).otherwise(F.concat(root, F.lit("/a.py,x,1")))
+    records = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("dist"), line.alias("line"))
+    s = table(spark, sf_dir, "supplier")
+    metadata = s.select(F.col("s_suppkey").alias("dist"), F.explode(F.array(F.lit("Version: 1"), F.concat(F.lit("Name: "), "s_name"))).alias("line"))
+    return source.distribution_names(records, metadata)
+
+
+SQL_distribution_names = """SELECT 'r' || CAST(l_partkey AS VARCHAR) AS root, min(s_name) AS package FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 4 != 0 GROUP BY l_partkey"""
+
+
+def combined_settings(spark, sf_dir):
+    """Orders as pairs of settings: the first of two that is set, and lists put one behind the other."""
+    o = table(spark, sf_dir, "orders")
+    mine = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus"))
+    lists = [F.when(F.col("o_orderkey") % k != 0, F.array("o_orderpriority", F.lit(str(k)))) for k in (2, 5)]
+    return o.select("o_orderkey", aggregates.either(mine, F.lit("default")).alias("one"), F.array_join(aggregates.appended(*lists), ",").alias("both"))
+
+
+SQL_combined_settings = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'default' END AS one,
+ concat_ws(',', CASE WHEN o_orderkey % 2 != 0 THEN o_orderpriority || ',2' END, CASE WHEN o_orderkey % 5 != 0 THEN o_orderpriority || ',5' END) AS both FROM orders"""
+
+
 def importers(spark, sf_dir):
     return aggregates.importers(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
 

@@ -23,6 +23,18 @@ FILES = {
     "ring/f.py": "from ring.e import E\n\nclass F:\n    other = None\n",
     "broken.py": "def (:\n",
 }
+#: A second corpus: imports that are unused, missing, tolerated or stand in functions of a cycle, and a list that is read from outside.
+MORE = {
+    "main.py": 'import json\nimport left.a\nimport tools as t\nfrom math import pi, tau\n\nprint(t.__all__, tau)\ntry:\n    import tools.gone\nexcept ImportError:\n    pass\nimport tools.lost\n',
+    "tools.py": '__all__ = ["use"]\n\ndef use():\n    from string import digits, hexdigits\n    return digits\n',
+    "left/__init__.py": "",
+    "left/a.py": "def a():\n    import left.b\n    return left.b\n",
+    "left/b.py": "def b():\n    from left.a import a\n    return a\n",
+}
+
+
+def more_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sorted(MORE.items()), "path string, source string")
 
 
 def sample_files(spark: SparkSession) -> DataFrame:
