@@ -40,3 +40,19 @@ def test_source_mix_of_repeated_rows(spark):
     key = ["doc_id", "size", "source_size", "target", "taken", "copies", "extra"]
     by = lambda df: sorted(map(repr, df.select(*key).collect()))
     assert by(out) == by(mixing.plan(docs)[0])
+
+
+def test_source_mix_of_a_source_of_many_blocks(spark, monkeypatch):
+    """Over 2,048 blocks of one source (a million documents at the usual block): keys times blocks pass 63 bits."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCUMENTS", 1)
+    n = 4000
+    docs = spark.range(n + 500).selectExpr("id AS doc_id", "concat('a b c d', repeat(' e', int(id % 7))) AS text", f"if(id < {n}, 'big', 'small') AS source")
+    rows = mixing.plan(docs)[0].collect()
+    big = [r for r in rows if r.source == "big"]
+    assert len(rows) == n + 500 and all(r.block == r._key * n >> mixing.KEY_BITS for r in big) and max(r.block for r in big) > 3900
+    assert all(0 <= r.taken <= 3 * r.size for r in rows)
+    for source in ("big", "small"):
+        own = [r for r in rows if r.source == source]
+        assert sum(r.taken for r in own) == round(own[0].target)
+    mixed = corpus_pipeline.source_mix(spark, docs, "")
+    assert mixed.select(mixing.n_words().alias("n")).groupBy().sum("n").first()[0] == sum(r.taken for r in rows)

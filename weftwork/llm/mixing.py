@@ -77,7 +77,9 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float =
         F.col("source").alias("_s"), F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("_docs") / BLOCK_DOCUMENTS))).alias("_blocks")
     )
     # Sources may be many: a join, which Spark splits where one source has most rows.
-    placed = lean.join(rates, lean["source"].eqNullSafe(rates["_s"])).drop("_s").withColumn("block", F.floor(F.col("_key") * F.col("_blocks") / F.lit(float(2**KEY_BITS))).cast("long"))
+    # In doubles: from 2,049 blocks on the product passes 63 bits. Rounding keeps the keys' order, and the largest key stays in the last block.
+    block = F.floor(F.col("_key").cast("double") * F.col("_blocks") / F.lit(float(2**KEY_BITS))).cast("long")
+    placed = lean.join(rates, lean["source"].eqNullSafe(rates["_s"])).drop("_s").withColumn("block", block)
     per_block = placed.groupBy("source", "block").agg(
         F.sum("size").alias("_words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
     )
