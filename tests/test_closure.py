@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftwork.operators import closure, graph
 
@@ -75,3 +76,16 @@ def test_shares_give_each_pair_once(monkeypatch, limits):
                     for out in closure.expand([row.append_column("share", pa.array([share], pa.int32()))]):
                         got += [(a, b) for a, bs in zip(*(c.to_pylist() for c in out.columns), strict=True) for b in bs]
         assert len(got) == len(set(got)) and set(got) == brute(pairs)
+
+
+def test_large_parts_are_neither_joined_nor_shuffled_a_share(spark, monkeypatch):
+    """A part of over 2,000,000 edges was closed by joins, which stored its pairs; a unit was shuffled once for each of its shares."""
+    monkeypatch.setattr(graph, "_joined_pairs", None)
+    ids = spark.range(1450)
+    wide = graph.reach_pairs(ids.select(F.col("id").alias("src")).crossJoin(ids.select((F.col("id") + 10_000).alias("dst"))))
+    assert wide.count() == 1450**2
+    n = 6000
+    path = graph.reach_pairs(spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    assert "Exchange" not in path._jdf.queryExecution().executedPlan().toString()
+    got = path.agg(F.count("*"), F.sum(F.col("dst") - F.col("src"))).first()
+    assert tuple(got) == (n * (n + 1) // 2, n * (n + 1) * (n + 2) // 6)
